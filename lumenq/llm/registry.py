@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import line_dedup, quality_classifier, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
+        "op6_sharding": sharding.query,
+        "op7_line_dedup": line_dedup.query,
         "op8_quality_rules": quality_rules.query,
         "op10_quality_classifier": quality_classifier.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": line_dedup.SQL,
+    }
