@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_classifier, quality_rules, sharding
+from . import line_dedup, mixing, quality_classifier, quality_rules, sharding, token_counts
 
 
 def queries() -> dict:
     return {
+        "op4_token_counts": token_counts.query,
         "op6_sharding": sharding.query,
         "op7_line_dedup": line_dedup.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_mixing": mixing.query,
         "op10_quality_classifier": quality_classifier.query,
     }
 
