@@ -1,9 +1,9 @@
-"""Which keys recur in other documents, found with one narrow shuffle.
+"""Which keys recur elsewhere, found with one narrow shuffle.
 
-Rows are (first, second, doc_id): a key of 128 bits and a document that holds it. Each
-task sends one row for a key, its smallest doc_id there, however many of its documents
-hold it; so no key meets more rows than there are tasks. What a task knows by itself
-goes by the document instead.
+A row is a key of 128 bits, a detail, and the place that holds it: doc_id and pos. Each
+task sends on one row for a key and detail, its smallest place there, however many of
+its places hold them; so no key meets more rows than there are tasks. The task's other
+places of the key are known to be repeats, and go by their document.
 """
 
 from __future__ import annotations
@@ -15,76 +15,99 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-Keys = tuple[np.ndarray, np.ndarray, np.ndarray]
-#: Keys that a task holds before it sends them on.
+#: key (first, second), detail, doc_id, pos
+Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: What a place asks of its key and detail: that another place has them; that a smaller
+#: doc_id has them; or the first of these, and whether the key has several details.
+EACH, LATER, SPLIT = 0, 1, 2
+#: Bits of the answer.
+REPEATED, IS_LATER, DIFFERS = 1, 2, 4
+_WANTED = np.array([REPEATED, IS_LATER, REPEATED | DIFFERS], np.int8)
+#: Rows that a task holds before it sends them on.
 HELD = 1 << 22
-#: kind: EACH asks for all documents of a key that two hold, LATER for all but the smallest.
-EACH, LATER = 0, 1
-SENT = "first long, second long, doc_id long, kind byte, sure boolean"
-_NAMES = ["first", "second", "doc_id", "kind", "sure"]
+#: state: 0 speaks for one place, 1 for several of its task, 2 is a known repeat.
+SENT = "first long, second long, detail long, doc_id long, pos long, kind byte, state byte"
+_NAMES = ["first", "second", "detail", "doc_id", "pos", "kind", "state"]
 
 
-def _batch(first, second, doc, kind, sure) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(doc, pa.int64()), pa.array(np.broadcast_to(np.int8(kind), len(first)).copy(), pa.int8()), pa.array(sure, pa.bool_())], names=_NAMES)
+def _new(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
 
 
 def _combined(parts: list[Keys], kind: int) -> Iterator[pa.RecordBatch]:
-    """A row for each key with its smallest document, and sure rows for what is known here."""
-    first, second, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((doc, second, first))
-    first, second, doc = first[order], second[order], doc[order]
-    new = np.ones(len(first), bool)
-    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
-    fresh = new.copy()
-    fresh[1:] |= doc[1:] != doc[:-1]
-    first, second, doc, new = first[fresh], second[fresh], doc[fresh], new[fresh]
-    size = np.diff(np.append(np.flatnonzero(new), len(new)))
-    many = np.repeat(size > 1, size)
-    # EACH: the smallest document of a key held by two here is sure, and still speaks for the key
-    sure = many if kind == EACH else many & ~new
-    for i in range(0, len(first), 1 << 18):
+    first, second, detail, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, doc, detail, second, first))
+    cols = [c[order] for c in (first, second, detail, doc, pos)]
+    fresh = _new(*cols)
+    cols = [c[fresh] for c in cols]
+    speaks = _new(*cols[:3])
+    size = np.diff(np.append(np.flatnonzero(speaks), len(speaks)))
+    state = np.full(len(speaks), 2, np.int8)
+    state[speaks] = size > 1
+    for i in range(0, len(speaks), 1 << 18):
         cut = slice(i, i + (1 << 18))
-        s, n = sure[cut], new[cut]
-        if s.any():
-            yield _batch(first[cut][s], second[cut][s], doc[cut][s], kind, np.ones(int(s.sum()), bool))
-        if n.any():
-            yield _batch(first[cut][n], second[cut][n], doc[cut][n], kind, np.zeros(int(n.sum()), bool))
+        n = len(state[cut])
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[cut]) for c in cols), pa.array(np.full(n, kind, np.int8)), pa.array(state[cut])], names=_NAMES)
 
 
-def senders(find: Callable[[pa.RecordBatch], Iterator[tuple[int, Keys]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task that finds keys of both kinds in its batches, and sends them combined."""
+def sender(kinds: Callable[[pa.RecordBatch], Iterator[tuple[int, Keys]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task that finds keys of some kinds in its batches, and sends them combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[Keys]] = {EACH: [], LATER: []}
+        held: dict[int, list[Keys]] = {}
         count = 0
         for batch in batches:
-            for kind, keys in find(batch):
+            for kind, keys in kinds(batch):
                 if len(keys[0]):
-                    held[kind].append(keys)
+                    held.setdefault(kind, []).append(keys)
                     count += len(keys[0])
                 if count > HELD:
                     for k, parts in held.items():
-                        if parts:
-                            yield from _combined(parts, k)
-                    held, count = {EACH: [], LATER: []}, 0
+                        yield from _combined(parts, k)
+                    held, count = {}, 0
         for k, parts in held.items():
-            if parts:
-                yield from _combined(parts, k)
+            yield from _combined(parts, k)
 
     return run
 
 
+def _judge(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    first, second, detail, doc, pos, kind, state = cols
+    answer = np.full(len(first), REPEATED | IS_LATER, np.int8)
+    at = np.flatnonzero(state < 2)
+    if len(at):
+        f, s, k, d, e, many = first[at], second[at], kind[at], detail[at], doc[at], state[at]
+        key = _new(f, s, k)
+        same = key | _new(d)
+        begin = np.flatnonzero(same)
+        size = np.diff(np.append(begin, len(at)))
+        repeated = np.repeat((size > 1) | (np.maximum.reduceat(many, begin) > 0), size)
+        later = e != np.repeat(e[begin], size)
+        of_key = np.flatnonzero(key)
+        details = np.repeat(np.add.reduceat(same.astype(np.int64), of_key), np.diff(np.append(of_key, len(at))))
+        answer[at] = repeated * REPEATED + later * IS_LATER + (details > 1) * DIFFERS
+    hit = (answer & _WANTED[kind]) > 0
+    if hit.any():
+        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (first, doc, pos, kind, answer)], names=["first", "doc_id", "pos", "kind", "answer"])
+
+
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and document: those that are sure or whose key qualifies them."""
-    rest = None
+    """Answers to rows that are sorted by key, kind, detail and place."""
+    rest: list[np.ndarray] | None = None
     for batch in batches:
-        now = [batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES]
-        cols = now if rest is None else [np.concatenate([a, b]) for a, b in zip(rest, now, strict=True)]
+        cols = [batch.column(n).to_numpy(zero_copy_only=False) for n in _NAMES]
+        if rest is not None:
+            cols = [np.concatenate([a, b]) for a, b in zip(rest, cols, strict=True)]
         if not len(cols[0]):
             continue
         # what belongs to the last key waits for the next batch
-        same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[3] == cols[3][-1])
-        last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[5] != cols[5][-1]))
+        last = int(other[-1]) + 1 if len(other) else 0
         rest = [c[last:] for c in cols]
         if last:
             yield from _judge([c[:last] for c in cols])
@@ -92,26 +115,8 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _judge(rest)
 
 
-def _judge(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    first, second, doc, kind, sure = cols
-    asked = ~sure
-    at = np.flatnonzero(asked)
-    hit = sure.copy()
-    if len(at):
-        f, s, k, d = first[at], second[at], kind[at], doc[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1]) | (k[1:] != k[:-1])
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(at)))
-        smallest = np.repeat(d[begin], size)
-        largest = np.repeat(np.maximum.reduceat(d, begin), size)
-        hit[at] = np.where(k == EACH, smallest != largest, d != smallest)
-    if hit.any():
-        yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (first, doc, kind)], names=["first", "doc_id", "kind"])
-
-
 def recurring(sent: DataFrame) -> DataFrame:
-    """doc_id, first, kind of the rows sent whose key recurs as their kind asks."""
-    route = F.when(F.col("sure"), F.col("doc_id")).otherwise(F.col("first"))
-    met = sent.repartition(route).sortWithinPartitions("first", "second", "kind", "doc_id")
-    return met.mapInArrow(_resolve, "first long, doc_id long, kind byte")
+    """first, doc_id, pos, kind, answer of the places whose key recurs as their kind asks."""
+    route = F.when(F.col("state") == 2, F.xxhash64("doc_id")).otherwise(F.col("first"))
+    met = sent.repartition(route).sortWithinPartitions("first", "second", "kind", "detail", "doc_id", "pos")
+    return met.mapInArrow(_resolve, "first long, doc_id long, pos long, kind byte, answer byte")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, token_counts
+from . import line_dedup, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
         "op3_substring_dedup": substring_dedup.query,
         "op4_token_counts": token_counts.query,
+        "op5_suffix_dedup": suffix_dedup.query,
         "op6_sharding": sharding.query,
         "op7_line_dedup": line_dedup.query,
         "op8_quality_rules": quality_rules.query,

@@ -69,10 +69,11 @@ def _find_anchors(window: int):
             # one row for each anchor of a document
             own = H.mix(least ^ (owner[at].astype(H.U) * H.U(0x9E3779B97F4A7C15)))
             _, once = np.unique(own, return_index=True)
-            yield R.EACH, (H.as_long(least[once]), np.zeros(len(once), np.int64), doc[owner[at[once]]])
+            zero = np.zeros(len(once), np.int64)
+            yield R.EACH, (H.as_long(least[once]), zero, zero, doc[owner[at[once]]], zero)
             long = np.flatnonzero(np.bincount(owner, minlength=len(doc)) >= window)
             a, b = _text_hash(hashes, chunk, owner)
-            yield R.LATER, (a[long], b[long], doc[long])
+            yield R.LATER, (a[long], b[long], 0 * long, doc[long], 0 * long)
 
     return find
 
@@ -100,7 +101,7 @@ def _find_windows(window: int):
             if len(at):
                 doc = ids[chunk.rows[0] : chunk.rows[-1] + 1]
                 a, b = (H.as_long(H.ranges_hash(hashes, at, at + window, which)) for which in (1, 2))
-                yield R.LATER, (a, b, doc[owner[at]])
+                yield R.LATER, (a, b, 0 * at, doc[owner[at]], 0 * at)
 
     return find
 
@@ -189,11 +190,11 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces, as UTF-8)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     known = docs.where("doc_id is not null")
-    anchors = R.recurring(known.mapInArrow(R.senders(_find_anchors(window)), R.SENT))
+    anchors = R.recurring(known.mapInArrow(R.sender(_find_anchors(window)), R.SENT))
     lists = anchors.groupBy("doc_id").agg(F.collect_set(F.when(F.col("kind") == R.EACH, F.col("first"))).alias("anchors"), F.max(F.col("kind") == R.LATER).alias("copy"))
     first = docs.join(lists, "doc_id", "left")
     windows = R.recurring(
-        first.where("not coalesce(copy, false) and size(anchors) > 0").select("doc_id", "text", "anchors").mapInArrow(R.senders(_find_windows(window)), R.SENT)
+        first.where("not coalesce(copy, false) and size(anchors) > 0").select("doc_id", "text", "anchors").mapInArrow(R.sender(_find_windows(window)), R.SENT)
     )
     lost = windows.groupBy("doc_id").agg(F.collect_set("first").alias("lost"))
     second = first.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy")).join(lost, "doc_id", "left")
