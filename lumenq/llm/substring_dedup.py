@@ -189,16 +189,17 @@ def _remove(window: int):
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces, as UTF-8)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # every join takes the same filtered texts, so that Spark shuffles them once
     known = docs.where("doc_id is not null")
     anchors = R.recurring(known.mapInArrow(R.sender(_find_anchors(window)), R.SENT))
     lists = anchors.groupBy("doc_id").agg(F.collect_set(F.when(F.col("kind") == R.EACH, F.col("first"))).alias("anchors"), F.max(F.col("kind") == R.LATER).alias("copy"))
-    first = docs.join(lists, "doc_id", "left")
-    windows = R.recurring(
-        first.where("not coalesce(copy, false) and size(anchors) > 0").select("doc_id", "text", "anchors").mapInArrow(R.sender(_find_windows(window)), R.SENT)
-    )
+    some = lists.where("not copy and size(anchors) > 0").select("doc_id", "anchors")
+    windows = R.recurring(known.join(some, "doc_id").mapInArrow(R.sender(_find_windows(window)), R.SENT))
     lost = windows.groupBy("doc_id").agg(F.collect_set("first").alias("lost"))
-    second = first.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy")).join(lost, "doc_id", "left")
-    return second.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept binary")
+    both = known.join(lists.where("copy").select("doc_id", "copy"), "doc_id", "left").join(lost, "doc_id", "left")
+    others = docs.where("doc_id is null").withColumns({"copy": F.lit(False), "lost": F.lit(None).cast("array<long>")})
+    whole = both.withColumn("copy", F.coalesce("copy", F.lit(False))).unionByName(others)
+    return whole.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,16 +187,19 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    known = docs.where(f"doc_id is not null and octet_length(text) >= {LENGTH}")
-    anchors = R.recurring(known.mapInArrow(R.sender(_find_anchors), R.SENT))
-    first = docs.join(anchors.groupBy("doc_id").agg(F.collect_set("first").alias("anchors")), "doc_id", "left")
-    runs = R.recurring(first.where("anchors is not null").select("doc_id", "text", "anchors").mapInArrow(R.sender(_find_runs), R.SENT))
+    # every join takes the same filtered texts, so that Spark shuffles them once
+    known = docs.where("doc_id is not null")
+    anchors = R.recurring(known.where(f"octet_length(text) >= {LENGTH}").mapInArrow(R.sender(_find_anchors), R.SENT))
+    first = known.join(anchors.groupBy("doc_id").agg(F.collect_set("first").alias("anchors")), "doc_id")
+    runs = R.recurring(first.mapInArrow(R.sender(_find_runs), R.SENT))
     when = lambda bit: F.collect_list(F.when(F.col("answer").bitwiseAND(bit) > 0, F.col("pos")))
     judged = runs.groupBy("doc_id").agg(when(R.REPEATED).alias("full"), when(R.DIFFERS).alias("open"))
-    second = docs.join(judged, "doc_id", "left")
-    strings = R.recurring(second.where("size(open) > 0").select("doc_id", "text", "open").mapInArrow(R.sender(_find_strings), R.SENT))
-    third = second.drop("open").join(strings.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")), "doc_id", "left")
-    return third.mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    open_runs = judged.where("size(open) > 0").select("doc_id", "open")
+    strings = R.recurring(known.join(open_runs, "doc_id").mapInArrow(R.sender(_find_strings), R.SENT))
+    starts = strings.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    lists = known.join(judged.drop("open"), "doc_id", "left").join(starts, "doc_id", "left")
+    others = docs.where("doc_id is null").withColumns({"full": F.lit(None).cast("array<long>"), "starts": F.lit(None).cast("array<long>")})
+    return lists.unionByName(others).mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
