@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import recurrence as R
-from .tables import documents
+from .tables import documents, identified
 
 WINDOW = 13
 ANCHOR = 5
@@ -188,7 +188,7 @@ def _remove(window: int):
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces, as UTF-8)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = identified(docs)
     # every join takes the same filtered texts, so that Spark shuffles them once
     known = docs.where("doc_id is not null")
     anchors = R.recurring(known.mapInArrow(R.sender(_find_anchors(window)), R.SENT))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import recurrence as R
-from .tables import documents
+from .tables import documents, identified
 
 LENGTH = 400
 SEED = 32
@@ -186,7 +186,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the bytes that stay)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    docs = identified(docs)
     # every join takes the same filtered texts, so that Spark shuffles them once
     known = docs.where("doc_id is not null")
     anchors = R.recurring(known.where(f"octet_length(text) >= {LENGTH}").mapInArrow(R.sender(_find_anchors), R.SENT))

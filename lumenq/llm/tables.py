@@ -32,6 +32,10 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def separated(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the columns needed, so that others may have any name."""
-    return df.select(*[F.col(f"`{name}`") for name in needed])
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id as long and text as UTF-8, only. A doc_id that is long already is no new
+    column, so that plans which read it twice are alike and share their shuffle."""
+    doc_id = F.col("doc_id")
+    if dict(docs.dtypes)["doc_id"] != "bigint":
+        doc_id = doc_id.cast("long").alias("doc_id")
+    return docs.select(doc_id, F.col("text").cast("binary").alias("text"))
