@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_near_dedup": near_dedup.query,
         "op3_substring_dedup": substring_dedup.query,
         "op4_token_counts": token_counts.query,
