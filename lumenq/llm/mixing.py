@@ -137,5 +137,13 @@ def taken(docs: DataFrame) -> DataFrame:
     return numbered.join(sums, "row_id", "left").join(facts, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
+def repeat(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, to the nearest whole time."""
+    sums = taken(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).where("s > 0")
+    times = sums.select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("s")).cast("int").alias("__times")).where("__times > 0")
+    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return both.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken(documents(spark, sf_dir))

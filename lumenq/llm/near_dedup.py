@@ -223,5 +223,11 @@ def groups(docs: DataFrame, words: int = 4, threshold: float = 0.8) -> DataFrame
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs without those that another of their group stands for."""
+    gone = settled(groups(docs, words, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__id")))
+    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(documents(spark, sf_dir))

@@ -99,5 +99,16 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return at.join(F.broadcast(heads), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("place") - F.col("head")).alias("slot"))
 
 
+def attach(docs: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The rows of docs with shard and slot. Rows of one doc_id and text are interchangeable."""
+    def numbered(df: DataFrame, crc: Column, order: list) -> DataFrame:
+        return df.withColumn("__crc", crc).withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__crc").orderBy(*order)))
+
+    left = numbered(docs, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), [F.lit(0)])
+    right = numbered(assigned, F.col("text_crc32"), ["shard", "slot"]).select(F.col("doc_id").alias("__id"), F.col("__crc").alias("__crc2"), F.col("__copy").alias("__copy2"), "shard", "slot")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__crc2")) & (F.col("__copy") == F.col("__copy2"))
+    return left.join(right, same).drop("__crc", "__copy", "__id", "__crc2", "__copy2")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -17,18 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, written once to the shared checkpoint folder, so that it is neither
-    computed again nor lost with an executor.
-
-    The folder is the one the session names in spark.checkpoint.dir. Only where
-    that is unset, as in tests, a temporary one of this machine is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only where that is
+    unset, as in tests, it is a temporary one of this machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lumenq-checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder, so that it is neither computed again nor
+    lost with an executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
