@@ -29,7 +29,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import documents, settled, table
+from .tables import documents, settled, table, unused
 
 OVERLAP = 13
 SUBSTITUTIONS = 2
@@ -112,8 +112,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that overlap no item."""
-    dirty = settled(hits(docs, benchmark).select(F.col("doc_id").alias("dirty")).distinct())
-    return docs.join(dirty, F.col("doc_id") == F.col("dirty"), "left_anti")
+    dirty = settled(hits(docs, benchmark).select(F.col("doc_id").alias(unused(docs, "dirty"))).distinct())
+    return docs.join(dirty, docs["doc_id"] == dirty[dirty.columns[0]], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

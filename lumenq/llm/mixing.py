@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import documents, settled
+from .tables import documents, settled, unused
 
 WEIGHTS = (5, 2, 1)
 TOTAL_SHARE = 1.5
@@ -140,9 +140,10 @@ def taken(docs: DataFrame) -> DataFrame:
 def repeat(docs: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, to the nearest whole time."""
     sums = taken(docs).groupBy("doc_id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).where("s > 0")
-    times = sums.select(F.col("doc_id").alias("__id"), F.round(F.col("t") / F.col("s")).cast("int").alias("__times")).where("__times > 0")
-    both = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return both.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, many, turn = (unused(docs, x) for x in ("taken_id", "taken_times", "taken_turn"))
+    times = sums.select(F.col("doc_id").alias(key), F.round(F.col("t") / F.col("s")).cast("int").alias(many)).where(F.col(many) > 0)
+    both = docs.join(times, docs["doc_id"].eqNullSafe(times[key]))
+    return both.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

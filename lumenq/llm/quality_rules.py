@@ -19,7 +19,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import hashing as H
 from .labelled import fit_sigmoid, labelled_features, sigmoid
@@ -140,7 +139,7 @@ def _measure(chunk: H.Chunk, model: Model | None) -> dict[str, np.ndarray]:
 def _judged(model: Model | None, keep: tuple[str, ...], only_kept: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in H.chunks(batch.column("text__bytes").to_pylist()):
+            for chunk in H.chunks(batch.column("text").cast(pa.binary()).to_pylist()):
                 found = _measure(chunk, model)
                 part = batch.slice(int(chunk.rows[0]), len(chunk.rows))
                 columns = [part.column(c) for c in keep]
@@ -154,14 +153,13 @@ def _judged(model: Model | None, keep: tuple[str, ...], only_kept: bool):
 
 def measure(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, the counts, base_failed and kept, for each row."""
-    narrow = docs.select("doc_id", F.col("text").cast("binary").alias("text__bytes"))
-    return narrow.mapInArrow(_judged(model, ("doc_id",), False), "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", " + SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_judged(model, ("doc_id",), False), "doc_id " + docs.schema["doc_id"].dataType.simpleString() + ", " + SCHEMA)
 
 
 def keep(docs: DataFrame, model: Model | None) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
     names = tuple(docs.columns)
-    return docs.withColumn("text__bytes", F.col("text").cast("binary")).mapInArrow(_judged(model, names, True), docs.schema)
+    return docs.mapInArrow(_judged(model, names, True), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tables import documents, settled
+from .tables import documents, settled, unused
 
 SHARDS = 24
 OVERHEAD = 8
@@ -101,13 +101,12 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def attach(docs: DataFrame, assigned: DataFrame) -> DataFrame:
     """The rows of docs with shard and slot. Rows of one doc_id and text are interchangeable."""
-    def numbered(df: DataFrame, crc: Column, order: list) -> DataFrame:
-        return df.withColumn("__crc", crc).withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__crc").orderBy(*order)))
-
-    left = numbered(docs, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")), [F.lit(0)])
-    right = numbered(assigned, F.col("text_crc32"), ["shard", "slot"]).select(F.col("doc_id").alias("__id"), F.col("__crc").alias("__crc2"), F.col("__copy").alias("__copy2"), "shard", "slot")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__crc") == F.col("__crc2")) & (F.col("__copy") == F.col("__copy2"))
-    return left.join(right, same).drop("__crc", "__copy", "__id", "__crc2", "__copy2")
+    crc, copy, shard, slot = (unused(docs, x) for x in ("text_crc", "text_copy", "shard", "slot"))
+    copies = lambda key, order: F.row_number().over(Window.partitionBy("doc_id", key).orderBy(*order))
+    left = docs.withColumn(crc, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).withColumn(copy, copies(crc, [F.lit(0)]))
+    right = assigned.select(F.col("doc_id").alias("of"), F.col("text_crc32").alias("c"), copies("text_crc32", ["shard", "slot"]).alias("k"), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    same = left["doc_id"].eqNullSafe(right["of"]) & (left[crc] == right["c"]) & (left[copy] == right["k"])
+    return left.join(right, same).select(*[left[f"`{c}`"] for c in docs.columns], right[shard], right[slot])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

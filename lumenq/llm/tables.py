@@ -34,6 +34,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """doc_id as long and text as UTF-8, only. A doc_id that is long already is no new
     column, so that plans which read it twice are alike and share their shuffle."""
