@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
+from . import decontamination, line_dedup, mixing, near_dedup, oracle, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts
 
 
 def queries() -> dict:
@@ -21,6 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "op7_line_dedup": line_dedup.SQL,
-    }
+    return dict(oracle.ORACLE)
