@@ -11,7 +11,8 @@ after the last slot.
 
 Nothing is gathered per source: documents are ordered inside (source, bucket) groups
 of about BUCKET_WORDS words, and slots inside runs of consecutive slots, and offsets
-are summed over these. Source tables are joined by the number of the source.
+are summed over these. Nothing bounds the number of sources, so no table of them is broadcast
+by hand.
 
 Null text: no words, takes part with 0. Null source: a source of its own, last. Null
 doc_id: handled as any id. Repeated rows: each is a document of its own, told apart by
@@ -89,10 +90,10 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return named.withColumn("inside", inside).join(starts, ["source_no", "run"]).select("slot", "source_no", (F.col("first") + F.col("inside")).alias("rank"))
 
 
-def blocks(numbered: DataFrame, sources: DataFrame) -> DataFrame:
+def blocks(numbered: DataFrame) -> DataFrame:
     """source_no, rank, row_id, doc_id, first, words: which words of which document a block has.
 
-    numbered: row_id, doc_id, source_no, size, bucket, order.
+    numbered: row_id, doc_id, source_no, source_size, target, size, bucket, order.
     """
     group = Window.partitionBy("source_no", "bucket")
     end = F.sum("size").over(group.orderBy("order", "doc_id", "row_id").rowsBetween(Window.unboundedPreceding, 0))
@@ -100,7 +101,7 @@ def blocks(numbered: DataFrame, sources: DataFrame) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("source_no", "bucket", before.alias("first"))
     laid = numbered.where("size > 0").withColumn("end", end).join(starts, ["source_no", "bucket"])
-    laid = laid.join(F.broadcast(sources.select("source_no", "source_size", F.floor("target").cast("long").alias("most"))), "source_no")
+    laid = laid.withColumn("most", F.floor("target").cast("long"))
     begin = F.col("first") + F.col("end") - F.col("size") + F.col("pass") * F.col("source_size")
     laid = laid.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_TIMES - 1)))).withColumn("begin", begin)
     laid = laid.withColumn("stop", F.least(F.col("begin") + F.col("size"), "most")).where("begin < stop")
@@ -115,26 +116,24 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix, the documents and the sources.
 
     Mix: slot, source_no, rank, row_id, doc_id, pass, first, words, a row for each run of
-    words of a document in a slot. Documents: row_id, doc_id, source_no, size.
+    words of a document in a slot. Documents: row_id, doc_id, source_no, source_size, target, size.
     """
     sized = settled(sizes(docs).withColumn("row_id", F.monotonically_increasing_id()))
     sources = settled(targets(sized))
     total, all_blocks = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
     buckets = max(1, -(-total // BUCKET_WORDS))
-    name = sources.select(F.col("source").alias("named"), "source_no")
+    name = sources.select(F.col("source").alias("named"), "source_no", "source_size", "target")
     order = F.xxhash64("doc_id", F.lit("order"))
-    # Nothing bounds the number of sources, so Spark chooses the kind of this join
-    numbered = sized.join(name, F.col("source").eqNullSafe(F.col("named"))).select("row_id", "doc_id", "source_no", "size", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).alias("bucket"), order.alias("order"))
-    mixed = blocks(numbered, sources).join(schedule(sources, int(all_blocks)), ["source_no", "rank"], "left")
+    numbered = sized.join(name, F.col("source").eqNullSafe(F.col("named"))).select("row_id", "doc_id", "source_no", "source_size", "target", "size", F.pmod(F.xxhash64("doc_id", F.lit("bucket")), F.lit(buckets)).alias("bucket"), order.alias("order"))
+    mixed = blocks(numbered).join(schedule(sources, int(all_blocks)), ["source_no", "rank"], "left")
     return mixed.withColumn("slot", F.coalesce("slot", F.lit(int(all_blocks)) + F.col("rank"))), numbered, sources
 
 
 def taken(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken of each row."""
-    mixed, numbered, sources = mix(docs)
+    mixed, numbered, _ = mix(docs)
     sums = mixed.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    facts = sources.select("source_no", "source_size", "target")
-    return numbered.join(sums, "row_id", "left").join(facts, "source_no").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return numbered.join(sums, "row_id", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def repeat(docs: DataFrame) -> DataFrame:
