@@ -12,13 +12,14 @@ similarity s miss each other in m values with chance (1 - s)**m.
    large group of near copies. Only dense classes meet in the other lists. Again lists of
    up to LIST of them give pairs. In longer ones all meet the list's hub, its class of the
    most common values. Classes that prove too far from a hub for a link are compared with
-   all that met it, in blocks, by their sketches.
-Candidates are estimated from the bottom k of their joint sketch, and what is left
+   all that met it, in blocks, by their full sets, and a block returns a link only where
+   it joins two groups.
+Other candidates are estimated from the bottom k of their joint sketch, and what is left
 is confirmed by exact similarity over full sets. Links then spread by components().
 
 So no list emits all its pairs unless it is short, and copies within reach of a hub cost
 a row each. What stays quadratic is dense classes out of reach of their hub, against
-that hub's members, a comparison of two sketches each.
+that hub's members.
 
 Null, empty or wordless text: an empty set, linked with nothing. Null doc_id: a group of
 its own, component_id null. Repeated doc_ids: handled as equal documents. Empty table: empty
@@ -43,8 +44,8 @@ K = 128
 RETAINED = 24
 COLD = 10
 LIST = 32
-#: Rows of a block of the comparison with a hub's members.
-BLOCK = 512
+#: Rows of a block of the comparison with a hub's members, and shingles compared at once.
+BLOCK, SLICE = 512, 8192
 #: What an estimate of a sketch of K may be too small by: over four standard errors.
 SLACK = 0.16
 
@@ -141,32 +142,49 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float)
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_exact(words, threshold), "a long, b long")
 
 
-def _against(threshold: float):
-    """Compares the far rows of a block with all its rows, by sketches."""
+def _shared(sets: list[np.ndarray], here: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of some sets with all, by products of bounded slices of their incidence matrix."""
+    values, code = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    often = np.bincount(code, minlength=len(values)) > 1
+    place = np.cumsum(often) - 1
+    use = np.flatnonzero(often[code])
+    use = use[np.argsort(place[code[use]], kind="stable")]
+    row, column = row[use], place[code[use]]
+    shared = np.zeros((len(here), len(sets)), np.float32)
+    for low in range(0, int(often.sum()), SLICE):
+        cut = slice(*np.searchsorted(column, [low, low + SLICE]))
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[row[cut], column[cut] - low] = 1
+        shared += part[here] @ part.T
+    return shared
+
+
+def _against(words: int, threshold: float):
+    """Compares the far rows of a block with all its rows, by full sets; a link for each pair of groups that a link joins."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, n = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
-        far = table.column("far").to_numpy()
-        lists = [np.sort(np.asarray(x.values.to_numpy(zero_copy_only=False)).view(H.U)) for x in table.column("sketch")]
-        size = np.array([len(x) for x in lists])
-        edge = np.array([x[-1] if k > len(x) else H.U(2**64 - 1) for x, k in zip(lists, n, strict=True)], H.U)
-        values, code = np.unique(np.concatenate(lists), return_inverse=True)
-        row = np.repeat(np.arange(len(lists)), size)
-        often = np.bincount(code, minlength=len(values)) > 1
-        place = np.cumsum(often) - 1
-        use = often[code]
-        here = np.flatnonzero(far)
-        table_ = np.zeros((len(lists), int(often.sum())), np.float32)
-        table_[row[use], place[code[use]]] = 1
-        shared = table_[here] @ table_.T
-        within = np.array([np.searchsorted(x, edge, side="right") for x in lists])
-        count = np.minimum(within[here], size[here][:, None]) + np.minimum(within.T[here], size[None, :])
-        exact = (n[here] <= K)[:, None] & (n <= K)[None, :]
-        least = np.where(exact, threshold - 1e-9, threshold - SLACK)
-        hit = (shared >= least * np.maximum(count - shared, 1)) & (ids[here][:, None] != ids[None, :])
-        i, j = np.nonzero(hit)
-        x, y = ids[here[i]], ids[j]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        ids = table.column("doc_id").to_numpy()
+        sets = [s for chunk in H.chunks(table.column("text").to_pylist(), lower=True) for s in _sets(chunk, words)]
+        size = np.array([len(s) for s in sets], np.float64)
+        here = np.flatnonzero(table.column("far").to_numpy(zero_copy_only=False))
+        shared = _shared(sets, here).astype(np.float64)
+        union = size[here][:, None] + size[None, :] - shared
+        i, j = np.nonzero((100 * shared >= round(100 * threshold) * union) & (ids[here][:, None] != ids[None, :]))
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := root.get(x, x)) != x:
+                root[x] = x = root.get(y, y)
+            return x
+
+        out = []
+        for x, y in zip(ids[here[i]].tolist(), ids[j].tolist(), strict=True):
+            p, q = top(x), top(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -203,10 +221,9 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float) ->
     # a far row goes to its block for each part; each row goes to its part for each block
     asks = rows.where("far").select("hub", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("far"))
     gives = rows.select("hub", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("far"))
-    laid = asks.union(gives).join(classes.select("doc_id", "n", "sketch"), "doc_id")
-    more = laid.groupBy("hub", "block", "part").applyInArrow(_against(threshold), "a long, b long").distinct()
-    known = found.unionByName(_confirmed(settled(more.join(found, ["a", "b"], "left_anti")), docs, words, threshold))
-    return known
+    laid = asks.union(gives).join(docs, "doc_id")
+    more = laid.groupBy("hub", "block", "part").applyInArrow(_against(words, threshold), "a long, b long")
+    return found.unionByName(more)
 
 
 def groups(docs: DataFrame, words: int = 4, threshold: float = 0.8) -> DataFrame:
