@@ -22,7 +22,8 @@ a row each. What stays quadratic is dense classes out of reach of their hub, aga
 that hub's members.
 
 Null, empty or wordless text: an empty set, linked with nothing. Null doc_id: a group of
-its own, component_id null. Repeated doc_ids: handled as equal documents. Empty table: empty
+its own, component_id null. Rows that share a
+doc_id: one group; if their sets differ, the largest is compared. Empty table: empty
 result. Extra columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window
 
 from . import hashing as H
 from .components import components
-from .tables import documents, identified, settled
+from .tables import documents, identified, settled, unused
 
 K = 128
 RETAINED = 24
@@ -232,18 +233,19 @@ def groups(docs: DataFrame, words: int = 4, threshold: float = 0.8) -> DataFrame
     sketched = settled(sketches(docs, words))
     filled = sketched.where("n > 0 and doc_id is not null")
     first = settled(filled.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")))
-    classes = settled(filled.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]))
+    stand = filled.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    classes = settled(stand.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"))
     label = components(links(docs.where("doc_id is not null"), classes, words, threshold)).select(F.col("node").alias("rep"), "label")
     first = settled(first.join(label, "rep", "left").select("one", "two", "n", F.coalesce("label", "rep").alias("component_id")))
     out = sketched.select("doc_id", "n", "one", "two").join(first, ["one", "two", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """The rows of docs without those that another of their group stands for."""
-    gone = settled(groups(docs, words, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__id")))
-    return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = settled(groups(docs, words, threshold).where(~F.col("kept")).select(F.col("doc_id").alias(unused(docs, "gone"))))
+    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
