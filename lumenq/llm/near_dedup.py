@@ -205,10 +205,11 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float) ->
     cold = tagged.where((F.col("f") <= LIST) & (F.col("rank") < COLD))
     dense = tagged.where((F.col("f") > LIST) & (F.least("n", F.lit(RETAINED)) - F.col("hot") < F.least("n", F.lit(COLD))))
     dense_lists = settled(dense.groupBy("value").agg(F.count(F.lit(1)).alias("g"), F.max_by("doc_id", F.struct("hot", -F.col("doc_id"))).alias("hub")).where("g > 1"))
-    short = dense.join(dense_lists.where(F.col("g") <= LIST), "value").select("value", "doc_id", "n")
+    # written before anything groups it, so that Spark can split a common value's part of the join
+    listed = settled(dense.join(dense_lists, "value").select("value", "doc_id", "n", "g", "hub"))
+    short = listed.where(F.col("g") <= LIST).select("value", "doc_id", "n")
     pairs = _pairs(cold.select("value", "doc_id", "n"), threshold).unionByName(_pairs(short, threshold)).select("a", "b").distinct()
-    met = dense.join(dense_lists.where(F.col("g") > LIST), "value").select("doc_id", "hub").distinct()
-    met = settled(met)
+    met = settled(listed.where(F.col("g") > LIST).select("doc_id", "hub").distinct())
     spokes = met.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     likely = settled(_likely(pairs.union(spokes), classes, threshold))
     found = settled(_confirmed(likely, docs, words, threshold))
