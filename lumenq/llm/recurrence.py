@@ -24,7 +24,7 @@ EACH, LATER, SPLIT = 0, 1, 2
 REPEATED, IS_LATER, DIFFERS = 1, 2, 4
 _WANTED = np.array([REPEATED, IS_LATER, REPEATED | DIFFERS], np.int8)
 #: Rows that a task holds before it sends them on.
-HELD = 1 << 22
+HELD = 1 << 21
 #: state: 0 speaks for one place, 1 for several of its task, 2 is a known repeat.
 SENT = "first long, second long, detail long, doc_id long, pos long, kind byte, state byte"
 _NAMES = ["first", "second", "detail", "doc_id", "pos", "kind", "state"]
