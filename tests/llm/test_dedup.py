@@ -112,6 +112,21 @@ def test_near_in_a_large_group(spark):
     assert got == brute_groups(rows, 4)
 
 
+@pytest.mark.parametrize("each", [1, 5])
+def test_near_in_a_large_group_with_text_of_their_own(spark, each):
+    """Copies of a template with text appended that nobody, or a few others, share; each links with the template only or with those."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1201):
+        if i % each == 0 or i == 1:
+            own = [f"o{rng.randrange(10**9)}" for _ in range(24)]
+        rows.append((i, " ".join([*base, *own[:23], f"{own[23]}{i}"])))
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup.groups(frame(spark, rows)).collect())
+    assert got == [(i, 0) for i in range(1201)]
+    assert [(i, top) for i, _, top, _ in brute_groups(rows[:300], 4)] == got[:300]
+
+
 def test_near_keeps_one_row_of_a_group(spark, rows, docs):
     kept = {r.doc_id for r in near_dedup.keep_one(docs).collect()}
     assert kept == {i for i, _, _, stays in brute_groups(rows, 5) if stays}
