@@ -12,6 +12,9 @@ SPAN + STRIDE - 1, so every overlap holds a whole seed. Test and training hashes
 hit names a document, an item and their offset. Around hits the tokens are compared place by
 place on the item, and the best run of OVERLAP places decides.
 
+Of an item under OVERLAP tokens, with at most one substitution, two masks of every other
+place are sought at all places of documents, for the lengths that the benchmark has.
+
 Items are few and broadcast when their seeds are under BROADCAST_SEEDS rows; beyond
 that Spark joins them by a shuffle of seed hashes. Documents' seeds are not shuffled in
 the first case. Hits of a seed that many items hold are counted once for each item
@@ -35,8 +38,8 @@ OVERLAP = 13
 SUBSTITUTIONS = 2
 SPAN = 10
 STRIDE = OVERLAP - SPAN + 1
-#: Fewest tokens of an item that is searched.
-SHORTEST = OVERLAP
+#: Fewest tokens of an item that is searched; those of fewer than OVERLAP must occur whole.
+SHORTEST = 5
 GROUPS = 4
 MASKS = [[p for p in range(SPAN) if p % GROUPS in pair] for pair in combinations(range(GROUPS), 2)]
 BROADCAST_SEEDS = 500_000
@@ -67,19 +70,45 @@ def items(benchmark: DataFrame) -> DataFrame:
     return settled(whole.withColumn("item_no", F.monotonically_increasing_id()))
 
 
+def allowed(n):
+    """Substitutions in an item of n tokens, under OVERLAP."""
+    return SUBSTITUTIONS * n // OVERLAP
+
+
+def _short_seeds(hashes: Column, starts: Column, n: int) -> Column:
+    """at and seed of an item's n tokens, or of every other of them where one may differ."""
+    masks = [range(k, n, 2) for k in (0, 1)] if allowed(n) else [range(n)]
+    one = lambda at, k: F.struct(at.cast("int").alias("at"), F.xxhash64(F.lit(n), F.lit(k), *[F.get(hashes, (at + p).cast("int")) for p in masks[k]]).alias("seed"))
+    return F.flatten(F.transform(starts, lambda at: F.array(*[one(at, k) for k in range(len(masks))])))
+
+
+def _short(pieces: DataFrame, known: DataFrame, n: int) -> DataFrame:
+    """doc_id, item_no, matched, item_start and doc_start of the whole occurrences of items of n tokens."""
+    held = known.where(F.size("tokens") == n).select("item_no", F.col("tokens").alias("item"))
+    seeds = settled(held.select("item_no", "item", F.explode(_short_seeds(F.col("item"), F.array(F.lit(0)), n)).alias("s")).select("item_no", "item", F.col("s.seed").alias("seed")))
+    last = F.least(F.size("tokens") - n, F.col("lead") + PIECE - 1)
+    probes = pieces.withColumn("s", F.explode(_short_seeds(F.col("tokens"), _starts(F.col("lead").cast("int"), last.cast("int"), 1), n)))
+    met = probes.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds, F.col("s.seed") == F.col("seed"))
+    matched = F.size(F.filter(F.zip_with("item", F.slice("tokens", F.col("s.at") + 1, n), lambda x, y: x == y), lambda same: same))
+    found = met.select("doc_id", "item_no", matched.alias("matched"), F.lit(0).alias("item_start"), (F.col("begin") - F.col("lead") + F.col("s.at")).alias("doc_start"))
+    return found.where(F.col("matched") >= n - allowed(n))
+
+
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matched, item_tokens, doc_start and item_start of the best overlap of each document and item that overlap."""
     known = items(benchmark)
     seeds = settled(
-        known.select("item_no", F.explode(_seeds(F.col("tokens"), _starts(F.lit(0), F.size("tokens") - SPAN, 1))).alias("s"))
+        known.select("item_no", F.explode(_seeds(F.col("tokens"), _starts(F.lit(0), F.when(F.size("tokens") >= OVERLAP, F.size("tokens") - SPAN).otherwise(-1), 1))).alias("s"))
         .select("item_no", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
     )
     few = seeds.count() <= BROADCAST_SEEDS
     bounded = F.broadcast if few else (lambda df: df)
 
+    lengths = [r.n for r in known.where(F.size("tokens") < OVERLAP).select(F.size("tokens").alias("n")).distinct().collect()]
+
     # Pieces of PIECE tokens, each with what its last seed and the check around it need
     margin = OVERLAP - 1
-    hashes = docs.select("doc_id", tokens(F.col("text")).alias("all")).where(F.size("all") >= OVERLAP)
+    hashes = docs.select("doc_id", tokens(F.col("text")).alias("all")).where(F.size("all") >= F.lit(min([OVERLAP, *lengths])))
     pieces = hashes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.size("all") / PIECE).cast("int") - 1)))
     begin = F.col("piece") * PIECE
     pieces = pieces.select(
@@ -104,6 +133,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item_no", F.col("best.n").alias("matched"), item_start.alias("item_start"),
         (F.col("begin") - F.col("lead") + item_start + shift).alias("doc_start"),
     )
+    for n in lengths:
+        found = found.unionByName(_short(pieces, known, n))
     best = found.groupBy("doc_id", "item_no").agg(F.max(F.struct("matched", -F.col("doc_start"), -F.col("item_start"))).alias("b"))
     best = best.select("doc_id", "item_no", F.col("b.matched").alias("matched"), (-F.col("b.col2")).alias("doc_start"), (-F.col("b.col3")).alias("item_start"))
     named = known.select("item_no", F.size("tokens").alias("item_tokens"), F.explode("ids").alias("id"))

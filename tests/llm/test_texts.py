@@ -136,6 +136,26 @@ def test_decontamination_against_brute_force(spark):
     assert {r.doc_id for r in D.clean(docs, benchmark).collect()} == {i for i, _ in rows if i not in dirty - {None}}
 
 
+def test_decontamination_by_short_items(spark):
+    """Items of fewer than 13 tokens occur whole, from 7 on with one substitution."""
+    rng = random.Random(6)
+    items = [(n, prose(rng, n)) for n in range(3, 13)]
+    rows, want = [], set()
+    for n, text in items:
+        for changed in range(3):
+            words = text.split()
+            for k in rng.sample(range(n), changed):
+                words[k] = "changed"
+            for lead in (0, 3, 250, 600):
+                i = len(rows)
+                rows.append((i, " ".join([*prose(rng, lead).split(), *words, *prose(rng, lead).split()])))
+                if n >= 5 and changed <= (1 if n >= 7 else 0):
+                    want.add((i, n, n - changed, lead))
+    docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.matched, r.doc_start) for r in D.hits(docs, benchmark).collect()} == want
+    assert {r.doc_id for r in D.clean(docs, benchmark).collect()} == {i for i, _ in rows} - {i for i, *_ in want}
+
+
 def test_every_pair_of_substitutions_leaves_a_mask():
     for a in range(D.SPAN):
         for b in range(D.SPAN):
