@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from .tables import discard, settled
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,10 @@ def components(links: DataFrame) -> DataFrame:
         least = settled(labels.select("node", "label").unionByName(near).groupBy("node").agg(F.min("label").alias("label")))
         to = least.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = settled(least.join(to, "label").select("node", F.col("next").alias("label")))
+        discard(labels, least)
         # labels only fall, so an equal sum means that none changed
         total = new.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            discard(edges)
             return new
         labels, before = new, total

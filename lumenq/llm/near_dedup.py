@@ -23,9 +23,11 @@ a row each. What stays quadratic is dense classes out of reach of their hub, aga
 that hub's members.
 
 Null, empty or wordless text: an empty set, linked with nothing. Null doc_id: a group of
-its own, component_id null. Rows that share a
-doc_id: one group; if their sets differ, the largest is compared. Empty table: empty
-result. Extra columns are ignored.
+its own, component_id null. Rows that share a doc_id: one group; if their sets differ,
+the lists hold the largest. Repeated rows: one group. Ties: similarity of just the
+threshold is a link, and the smallest doc_id stands for a group. Very long texts: whole
+sets; their sketch is no larger. Empty table: empty result. Extra columns are ignored by
+groups() and kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql.window import Window
 
 from . import hashing as H
 from .components import components
-from .tables import documents, identified, settled, unused
+from .tables import discard, documents, identified, settled, unused
 
 K = 128
 RETAINED = 24
@@ -49,8 +51,8 @@ LIST = 32
 #: Common values of RETAINED that make a class dense, whatever its other values are: a member of
 #: similarity 0.8 has fewer with the chance of 17 misses of 24, 1e-7.
 DENSE = 8
-#: Rows of a block of the comparison with a hub's members, and shingles compared at once.
-BLOCK, SLICE = 512, 8192
+#: Rows and shingles of a block of the comparison with a hub's members, about, and shingles compared at once.
+BLOCK, BLOCK_SHINGLES, SLICE = 512, 1 << 20, 8192
 #: What an estimate of a sketch of K may be too small by: over four standard errors.
 SLACK = 0.16
 
@@ -71,26 +73,32 @@ def _sets(chunk: H.Chunk, words: int) -> Iterator[np.ndarray]:
             yield np.unique(h[cut[i] : cut[i + 1]])
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in H.chunks(batch.column("text").to_pylist(), lower=True):
-                n, one, two, kept = [], [], [], []
+                n, one, two, head, rest = [], [], [], [], []
                 for s in _sets(chunk, words):
                     n.append(len(s))
                     one.append(int(H.as_long(H.mix(s).sum(keepdims=True))[0]) if len(s) else 0)
                     two.append(int(H.as_long(H.mix(s ^ H.U(0x5851F42D4C957F2D)).sum(keepdims=True))[0]) if len(s) else 0)
-                    kept.append(H.as_long(s[:K]))
-                sizes = np.array([0, *map(len, kept)], np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(kept)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(int(chunk.rows[0]), len(chunk.rows)), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists], names=["doc_id", "n", "one", "two", "sketch"])
+                    head.append(H.as_long(s[:RETAINED]))
+                    rest.append(H.as_long(s[RETAINED:K]))
+                ids = batch.column("doc_id").slice(int(chunk.rows[0]), len(chunk.rows))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in (n, one, two)), _lists(head), _lists(rest)], names=["doc_id", "n", "one", "two", "head", "rest"])
 
     return run
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), one and two (128 bits of the whole set) and sketch."""
-    return docs.mapInArrow(_sketch(words), "doc_id long, n long, one long, two long, sketch array<long>")
+    """doc_id, n (size of the set), one and two (128 bits of the whole set), and the sketch:
+    head, the RETAINED values that lists hold, and rest."""
+    return docs.mapInArrow(_sketch(words), "doc_id long, n long, one long, two long, head array<long>, rest array<long>")
 
 
 def _pairs(lists: DataFrame, ratio: float) -> DataFrame:
@@ -122,9 +130,9 @@ def _filter(threshold: float):
     return run
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _likely(pairs: DataFrame, sketched: DataFrame, threshold: float) -> DataFrame:
     """a, b of the pairs whose joint sketch leaves the threshold possible."""
-    side = lambda x: classes.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: sketched.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.concat("head", "rest").alias(f"s{x}"))
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").mapInArrow(_filter(threshold), "a long, b long")
 
 
@@ -194,9 +202,12 @@ def _against(words: int, threshold: float):
     return run
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float) -> DataFrame:
-    """a, b: pairs of classes, of which no confirmed link joins two components."""
-    vals = classes.select("doc_id", "n", F.posexplode(F.slice("sketch", 1, RETAINED)).alias("at", "value"))
+def links(docs: DataFrame, classes: DataFrame, sketched: DataFrame, words: int, threshold: float) -> DataFrame:
+    """a, b: confirmed pairs of classes, which have the components of all such pairs.
+
+    classes: doc_id, n, head. sketched: the sketches of these at least; deleted when read.
+    """
+    vals = classes.select("doc_id", "n", F.posexplode("head").alias("at", "value"))
     common = settled(vals.groupBy("value").agg(F.count(F.lit(1)).alias("f")).where("f > 1"))
     mine = Window.partitionBy("doc_id")
     hot = F.sum((F.col("f") > LIST).cast("int"))
@@ -206,6 +217,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float) ->
         .withColumn("hot", hot.over(mine))
     )
     tagged = settled(tagged.select("value", "doc_id", "n", "f", "rank", "hot"))
+    discard(common)
     cold = tagged.where((F.col("f") <= LIST) & (F.col("rank") < COLD))
     retained = F.least("n", F.lit(RETAINED))
     many = (retained - F.col("hot") < F.least("n", F.lit(COLD))) | (F.col("hot") * RETAINED >= retained * DENSE)
@@ -214,37 +226,51 @@ def links(docs: DataFrame, classes: DataFrame, words: int, threshold: float) ->
     # written before anything groups it, so that Spark can split a common value's part of the join
     listed = settled(dense.join(dense_lists, "value").select("value", "doc_id", "n", "g", "hub"))
     short = listed.where(F.col("g") <= LIST).select("value", "doc_id", "n")
-    pairs = _pairs(cold.select("value", "doc_id", "n"), threshold).unionByName(_pairs(short, threshold)).select("a", "b").distinct()
-    met = settled(listed.where(F.col("g") > LIST).select("doc_id", "hub").distinct())
+    pairs = settled(_pairs(cold.select("value", "doc_id", "n"), threshold).unionByName(_pairs(short, threshold)).select("a", "b").distinct())
+    met = settled(listed.where(F.col("g") > LIST).select("doc_id", "n", "hub").distinct())
+    discard(tagged, dense_lists, listed)
     spokes = met.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    likely = settled(_likely(pairs.union(spokes), classes, threshold))
+    likely = settled(_likely(pairs.union(spokes), sketched, threshold))
+    discard(pairs, sketched)
     found = settled(_confirmed(likely, docs, words, threshold))
-    # dense classes that no hub of theirs reaches, against all that met that hub
-    near = found.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")).withColumn("near", F.lit(True))
+    discard(likely)
+    more = settled(_far_links(met, found, docs, words, threshold))
+    discard(met)
+    return found.unionByName(more)
+
+
+def _far_links(met: DataFrame, found: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """a, b: links of dense classes that no hub of theirs reaches, against all that met that hub."""
+    near = found.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")).distinct().withColumn("near", F.lit(True))
     judged = met.join(near, ["hub", "doc_id"], "left").withColumn("far", F.col("near").isNull() & (F.col("doc_id") != F.col("hub"))).drop("near")
-    counts = judged.groupBy("hub").agg(F.count_if("far").alias("n_far"), F.count(F.lit(1)).alias("n_met")).where("n_far > 0")
-    judged = judged.join(counts, "hub").withColumn("blocks", F.ceil(F.col("n_far") / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("n_met") / BLOCK).cast("int"))
+    # so many blocks that one holds about BLOCK rows and BLOCK_SHINGLES shingles at most
+    many = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK, shingles / BLOCK_SHINGLES)).cast("int")
+    counts = judged.groupBy("hub").agg(
+        many(F.count_if("far"), F.coalesce(F.sum(F.when(F.col("far"), F.col("n"))), F.lit(0))).alias("blocks"), many(F.count(F.lit(1)), F.sum("n")).alias("parts")
+    ).where("blocks > 0")
     mixed = F.xxhash64("doc_id", F.lit("block"))
-    rows = judged.withColumn("block", F.pmod(mixed, "blocks").cast("int")).withColumn("part", F.pmod(mixed, "parts").cast("int"))
+    rows = judged.join(counts, "hub").withColumn("block", F.pmod(mixed, "blocks").cast("int")).withColumn("part", F.pmod(mixed, "parts").cast("int"))
     # a far row goes to its block for each part; each row goes to its part for each block
     asks = rows.where("far").select("hub", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("far"))
     gives = rows.select("hub", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "part", F.lit(False).alias("far"))
     laid = asks.union(gives).join(docs, "doc_id")
-    more = laid.groupBy("hub", "block", "part").applyInArrow(_against(words, threshold), "a long, b long")
-    return found.unionByName(more)
+    return laid.groupBy("hub", "block", "part").applyInArrow(_against(words, threshold), "a long, b long")
 
 
 def groups(docs: DataFrame, words: int = 4, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     docs = identified(docs)
     sketched = settled(sketches(docs, words))
+    sizes = settled(sketched.select("doc_id", "n", "one", "two"))
+    first = settled(sizes.where("n > 0 and doc_id is not null").groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")))
     filled = sketched.where("n > 0 and doc_id is not null")
-    first = settled(filled.groupBy("one", "two", "n").agg(F.min("doc_id").alias("rep")))
-    stand = filled.join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    classes = settled(stand.groupBy("doc_id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("doc_id", "s.n", "s.sketch"))
-    label = components(links(docs.where("doc_id is not null"), classes, words, threshold)).select(F.col("node").alias("rep"), "label")
-    first = settled(first.join(label, "rep", "left").select("one", "two", "n", F.coalesce("label", "rep").alias("component_id")))
-    out = sketched.select("doc_id", "n", "one", "two").join(first, ["one", "two", "n"], "left")
+    stand = filled.select("doc_id", "n", "head").join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    classes = settled(stand.groupBy("doc_id").agg(F.max(F.struct("n", "head")).alias("s")).select("doc_id", "s.n", "s.head"))
+    linked = links(docs.where("doc_id is not null"), classes, sketched, words, threshold)
+    label = components(linked).select(F.col("node").alias("rep"), "label")
+    named = settled(first.join(label, "rep", "left").select("one", "two", "n", F.coalesce("label", "rep").alias("component_id")))
+    discard(first, classes)
+    out = sizes.join(named, ["one", "two", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,11 +33,32 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that settled() has written, for discard().
+_written: WeakKeyDictionary = WeakKeyDictionary()
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that it is neither computed again nor
-    lost with an executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, written once as Parquet to the shared folder, so that it is neither computed
+    again nor lost with an executor. Columns that a reader doesn't use aren't read. What
+    was shuffled for it is deleted as soon as it is written."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}", spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes tables that settled() wrote and that nothing reads from now on."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def unused(docs: DataFrame, name: str) -> str:
