@@ -42,9 +42,47 @@ def test_mix_meets_targets(spark, rows, extra):
     want = fill(sizes)
     for r in got:
         assert r.source_size == sizes[source[r.doc_id]] and abs(r.target - want[source[r.doc_id]]) < 1e-6
-    assert all(abs(took[n] - want[n]) <= 1 for n in want)
+    # a block is one word here, and a source is off by a few slots of the schedule
+    assert all(abs(took[n] - want[n]) <= 4 for n in want)
     again = M.taken(docs.repartition(7)).collect()
-    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def brute_slots(sources, slots):
+    """Source and rank of each slot, one after another."""
+    seen, out = Counter(), []
+    for k in range(slots):
+        p = k * M.GOLDEN % M.POINTS
+        n = next(r.source_no for r in sources if r.low <= p < r.high)
+        out.append((k, n, seen[n]))
+        seen[n] += 1
+    return out
+
+
+def test_schedule_is_that_of_the_points(spark, docs):
+    sources = M.targets(M.sizes(docs)).collect()
+    got = M.schedule(spark.createDataFrame(sources), 40000).collect()
+    assert sorted(map(tuple, got)) == brute_slots(sources, 40000)
+
+
+def test_the_schedule_decides_what_is_taken(docs, monkeypatch):
+    took = lambda: {(r.doc_id, r.size): (r.taken, r.first_slot, r.slots) for r in M.taken(docs).collect()}
+    before, plan = took(), M.schedule
+    mixed, numbered, _ = M.mix(docs)
+    number = {(r.doc_id, r.size): r.source_no for r in numbered.collect()}
+    monkeypatch.setattr(M, "schedule", lambda sources, slots: plan(sources, slots).where("source_no <> 1"))
+    after = took()
+    assert any(number[k] == 1 and before[k][0] > 0 for k in before)
+    assert all(after[k] == ((0, None, 0) if number[k] == 1 else before[k]) for k in before)
+
+
+def test_many_sources(spark):
+    """A source for each document, more than a range holds."""
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i:04}") for i in range(900)], "doc_id long, text string, source string").repartition(4)
+    want = fill({f"s{i:04}": 1 + i % 7 for i in range(900)})
+    got = M.taken(docs).collect()
+    assert len(got) == 900 and all(abs(r.target - want[f"s{r.doc_id:04}"]) < 1e-6 for r in got)
+    assert abs(sum(r.taken for r in got) - sum(want.values())) <= 0.05 * sum(want.values())
 
 
 def test_schedule_spreads_sources(spark, docs):
@@ -58,7 +96,10 @@ def test_schedule_spreads_sources(spark, docs):
 
 
 def test_repeat_gives_whole_rows(spark, docs):
-    times = Counter(r.doc_id for r in M.repeat(docs).collect())
+    clash = docs.selectExpr("*", "1 as taken_order", "2 as taken_times", "3 as `order`", "4 as slot")
+    out = M.repeat(clash)
+    assert out.columns == clash.columns
+    times = Counter(r.doc_id for r in out.collect())
     for r in M.taken(docs).collect():
         assert abs(times[r.doc_id] * r.size - r.taken) <= r.size / 2 + 1e-9 or r.size == 0
 
