@@ -1,19 +1,22 @@
 """Line dedup, with DataFrame functions only.
 
 A line's key is the line without [\\x20\\x09-\\x0D] at both ends, A-Z lower-cased. Lines
-are exploded to hashes of their keys, the distinct documents of each hash are counted,
-and lines whose key of at least MIN_CHARS code points is in MIN_DOCS documents or more
-are dropped, but for those in the largest doc_id that holds it. The rest is put
-together again in order.
+are exploded to (document, position, hash of the key), the distinct documents of each
+hash are counted, and lines whose key of at least MIN_CHARS code points is in MIN_DOCS
+documents or more are dropped, but for those in the largest doc_id that holds it. What
+stays is put together again by position.
 
-The large side of every shuffle holds 16-byte hashes; the texts are shuffled once, to
-meet the list of hashes that each document loses. Counts are partly summed before the
-shuffle, so a line of every document costs a row per task. The lines that go are
-joined on a key that one line may fill; Spark splits such partitions.
+Hashes have 16 bytes and are computed once. The texts are shuffled once, as arrays of
+lines, to meet the list of positions that each document loses; the positions that stay
+are the difference of two sets, in time linear in the lines. Counts are partly summed
+before the shuffle, so a line of every document costs a row per task. The lines that go
+are joined on a key that one line may fill; Spark splits such partitions.
 
 Null text: one empty line. Null doc_id: such a row counts for no line and loses none.
-Rows that share a doc_id count as one document. Ties cannot arise: the largest id keeps.
-Empty table: empty result. Extra columns are ignored.
+Rows that share a doc_id count as one document; each text of it loses lines of its own.
+Repeated rows: each is returned. Ties cannot arise: the largest id keeps. Very long
+texts: whole; a document's lines are in one row. Empty table: empty result. Extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,26 +43,26 @@ def key_hash(line: Column, min_chars: int) -> Column:
 
 
 def excess(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """doc_id and the array of key hashes whose lines it loses."""
-    keys = docs.where("doc_id is not null").select(
-        "doc_id", F.explode(F.array_distinct(F.transform(lines(F.col("text")), lambda x: key_hash(x, min_chars)))).alias("key")
-    ).where("key is not null")
+    """doc_id, version (a hash of the text) and the positions, from 0, of the lines that it loses."""
+    lined = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(lines(F.col("text"))).alias("pos", "line"))
+    keys = settled(lined.select("doc_id", "version", "pos", key_hash(F.col("line"), min_chars).alias("key")).where("key is not null"))
     common = settled(
         keys.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs).select("key", "keeper")
     )
     lost = keys.join(common, "key").where(F.col("doc_id") != F.col("keeper"))
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
+    return lost.groupBy("doc_id", "version").agg(F.collect_set("pos").alias("lost"))
 
 
 def dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, the text without the lines that go, and how many lines it had and lost."""
     docs = docs.select("doc_id", "text")
-    joined = docs.join(excess(docs, min_chars, min_docs), "doc_id", "left")
-    all_lines = lines(F.col("text"))
-    stays = F.filter(all_lines, lambda x: ~F.coalesce(F.array_contains("lost", key_hash(x, min_chars)), F.lit(False)))
-    kept = F.when(F.col("lost").isNull(), all_lines).otherwise(stays)
-    return joined.select("doc_id", F.size(all_lines).cast("long").alias("n_lines"), kept.alias("kept")).select(
+    # split below the join, so that the lines are an array there and not split anew for each position
+    lined = docs.select("doc_id", F.xxhash64("text").alias("version"), lines(F.col("text")).alias("lines"))
+    joined = lined.join(excess(docs, min_chars, min_docs), ["doc_id", "version"], "left")
+    stays = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
+    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.transform(stays, lambda pos: F.get("lines", pos)))
+    return joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept")).select(
         "doc_id", F.array_join("kept", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped")
     )
 
