@@ -4,13 +4,17 @@ Law `bytes`: shards of near equal size. Records are ordered by a hash of their t
 so equal texts lie together, and then by doc_id. A sample of keys, drawn with chances
 in proportion to size, gives quantile boundaries; these cut the key space into ranges
 that one task can sort. Ranges that prove overfull, as a text of very many copies
-makes them, are divided again by doc_id. Exact sizes of all ranges then place every
-record on one line of bytes, which is cut into equal shards. A group of equal texts
-goes to one shard unless it is over GROUP_SHARE of a shard.
+makes them, are divided again by a hash of doc_id and the row. Exact sizes of all ranges
+then place every record on one line of bytes, which is cut into equal shards. `Near
+equal` is to TOLERANCE of a shard: a cut that falls inside a group of equal texts moves
+to the group's nearer end where that is closer than half of TOLERANCE, so that all but
+very large groups are whole, in tables of every size.
 
 Null text: size 8 and crc32 of nothing, 0. Null doc_id: sorts first. Repeated rows: each
-gets a slot of its own. Empty table: empty result. Extra columns are ignored by assign;
-attach keeps them.
+gets a slot of its own. Ties: records of equal text go by doc_id. Very long texts: whole;
+a shard is off its share by the longest text at most beside TOLERANCE. Empty table: empty
+result. Extra columns are ignored by assign; attach keeps them, whatever their names,
+and calls its own shard_ and slot_ where docs has columns of these names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ RANGE_BYTES = 128 << 20
 LEAST_RANGES, MOST_RANGES = 4 * SHARDS, 16384
 #: Keys sampled for each range, about.
 PER_RANGE = 20
-#: Share of a shard up to which a group of equal texts isn't cut.
-GROUP_SHARE = 0.02
+#: What shards may differ by, as a share of a shard, to keep groups of equal texts whole.
+TOLERANCE = 0.02
 #: The key space has this many cells, in which boundaries are looked up.
 CELL_BITS = 12
 
@@ -63,7 +67,7 @@ def splitters(sized: DataFrame, total: int, ranges: int) -> DataFrame:
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every record."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    sized = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key(F.col("text")).alias("key"))
+    sized = docs.select("doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), _key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("row_id"))
     sized = settled(sized)
     total = sized.agg(F.sum("size")).first()[0] or 0
     ranges = min(MOST_RANGES, max(LEAST_RANGES, total // RANGE_BYTES))
@@ -71,10 +75,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     key = F.col("key")
     # bounded: at most MOST_RANGES + 2**CELL_BITS rows
     placed = sized.withColumn("cell", _cell(key)).join(F.broadcast(cuts), "cell").where((F.col("low") <= key) & (F.col("high").isNull() | (key < F.col("high"))))
-    # A range over twice its due is divided by doc_id
+    # A range over twice its due is divided
     full = placed.groupBy("range_id").agg(F.sum("size").alias("bytes"))
     parts = settled(full.select("range_id", F.greatest(F.lit(1), F.ceil(F.col("bytes") * ranges / (2 * max(total, 1)))).cast("int").alias("parts")))
-    placed = placed.join(F.broadcast(parts), "range_id").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = placed.join(F.broadcast(parts), "range_id").withColumn("part", F.pmod(F.xxhash64("doc_id", "row_id"), F.col("parts")).cast("int"))
     placed = placed.select("range_id", "part", "key", "doc_id", "size", "text_crc32")
     # Where each part begins on the line of all bytes and rows
     sums = placed.groupBy("range_id", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -90,7 +94,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         # starts has a row for each part: at most MOST_RANGES + twice as many parts
         .join(F.broadcast(starts), ["range_id", "part"])
     )
-    middle = F.when(F.col("group_bytes") <= share * GROUP_SHARE, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
+    middle = F.when(F.col("group_bytes") <= share * TOLERANCE, F.col("group_end") - F.col("group_bytes") / 2).otherwise(F.col("end") - F.col("size") / 2)
     shard = F.least(F.lit(shards - 1), F.floor((F.col("first_byte") + middle) * shards / max(total, 1))).cast("int")
     at = at.select("doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("first_row") + F.col("row")).alias("place"))
     at = settled(at)
