@@ -9,13 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: n-grams of one labelled text that a model is fitted on at most: those of the smallest hashes.
+MOST_SLOTS = 1 << 13
+
+
+def _bounded(at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The MOST_SLOTS features of the smallest hashes, which are a fair sample of any text's."""
+    if len(at) <= MOST_SLOTS:
+        return at, value
+    mixed = at.astype(np.uint32) * np.uint32(0x9E3779B1)
+    chosen = np.sort(np.argsort(mixed ^ (mixed >> np.uint32(15)), kind="stable")[:MOST_SLOTS])
+    return at[chosen], value[chosen]
+
 
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str, rows: int, features: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], usable=None) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Feature indices and values, and labels, of at most `rows` labelled texts.
 
     The sample is the labelled ids with the smallest hashes, so reruns agree. An id
     with two labels, or with a null one, is left out, and so is a text that is null.
-    Features are computed where the texts are; only they come to the driver.
+    Features are computed where the texts are; only they come to the driver, at most
+    MOST_SLOTS for each text.
     """
     known = (
         labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
@@ -28,7 +41,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, rows: int,
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = features(batch.column("text").to_pylist())
+            found = [_bounded(*x) for x in features(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([i.tolist() for i, _ in found], pa.list_(pa.int32())), pa.array([v.tolist() for _, v in found], pa.list_(pa.float32()))], names=["id", "y", "at", "value"])
 
     # known has at most `rows` rows, so the broadcast is bounded

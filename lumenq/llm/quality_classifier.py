@@ -8,8 +8,10 @@ descent does not see.
 Only rows whose crc32(doc_id as text) modulo 4 is not 2 are learnt from. A score
 depends on the text alone. Null or empty text: no indicators, so the score is that of
 the bias. Null doc_id: held_out is false, and the row is never learnt from. Repeated
-rows: each is scored. With no labels of both kinds the score is 0.5. Empty table:
-empty result. Extra columns are ignored.
+rows: each is scored, and equal texts alike. Ties: a score of just PREDICT_FROM predicts
+1. Very long texts: scored whole; of a labelled one at most labelled.MOST_SLOTS
+indicators are learnt from. With no labels of both kinds the score is 0.5. Empty table:
+empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

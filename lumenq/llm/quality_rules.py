@@ -6,9 +6,12 @@ are in 5-word windows that it holds twice or more. What passes is kept when the
 regression, trained on labelled rows, gives it at least KEEP_FROM as the calibrated
 probability of label 1.
 
-Null text: no words, so it fails. Null doc_id: handled as any row. Repeated rows:
-each is judged for itself. Without labels of both kinds no model can be fitted, and
-the base rules alone decide. Empty table: empty result. Extra columns are ignored.
+Null text: no words, so it fails. Null doc_id: handled as any row, and never learnt
+from. Repeated rows: each is judged for itself. Ties: a probability of just KEEP_FROM
+keeps. Very long texts: judged whole; of a labelled one at most labelled.MOST_SLOTS n-grams are
+learnt from. Without labels of both kinds no model can be fitted, and the base rules
+alone decide. Empty table: empty result. Extra columns are ignored by measure() and kept
+by keep(), whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 @dataclass
 class Model:
-    """Weights of word 1-grams, word 2-grams and runs of 3 bytes."""
+    """Weights of word 1-grams, word 2-grams and runs of 3 characters."""
 
     weight: np.ndarray
     bias: float
@@ -50,19 +53,33 @@ def _slot(h: np.ndarray, family: int) -> np.ndarray:
     return (h >> H.U(64 - BITS)).astype(np.int64) + (family << BITS)
 
 
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and value, made of its bytes, of each character of UTF-8."""
+    first = (data & 0xC0) != 0x80
+    start = np.flatnonzero(first)
+    value = data[start].astype(np.uint32)
+    more = np.ones(len(start), bool)
+    for k in range(1, 4):
+        at = np.minimum(start + k, len(data) - 1)
+        more &= (start + k < len(data)) & ~first[at]
+        value = np.where(more, (value << np.uint32(8)) | data[at], value)
+    return start, value
+
+
 def _counted(chunk: H.Chunk, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's distinct n-grams: text, slot, and the root of the n-gram's share of its family."""
     n = len(chunk.texts)
     at, pairs = H.windows(hashes, owner, 2)
-    data = chunk.data.astype(np.uint32)
-    code = np.zeros(max(0, len(data) - 2), np.uint32)
+    start, character = _characters(chunk.data)
+    code = np.zeros(max(0, len(character) - 2), np.uint32)
     for k in range(3):
-        code = (code + data[k : len(code) + k] + np.uint32(1)) * np.uint32(0x9E3779B1)
+        code = (code + character[k : len(code) + k] + np.uint32(1)) * np.uint32(0x9E3779B1)
     code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    place = np.repeat(np.arange(n), chunk.size + 1)
-    inside = chunk.end[place[: len(code)]] >= np.arange(len(code)) + 3
+    place = np.searchsorted(chunk.end, start[: len(code)])
+    # a run ends in its text if its third character does
+    inside = start[2:] < chunk.end[place]
     slots = [_slot(hashes, 0), _slot(pairs, 1), (code[inside] >> np.uint32(32 - BITS)).astype(np.int64) + (2 << BITS)]
-    owners = [owner, owner[at], place[: len(code)][inside]]
+    owners = [owner, owner[at], place[inside]]
     total = np.concatenate([np.maximum(np.bincount(o, minlength=n), 1) for o in owners])
     both = np.sort((np.concatenate(owners) << (BITS + 2)) | np.concatenate(slots))
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(both)), bool), both[1:] != both[:-1]]))
