@@ -15,14 +15,21 @@ place on the item, and the best run of OVERLAP places decides.
 Of an item under OVERLAP tokens, with at most one substitution, two masks of every other
 place are sought at all places of documents, for the lengths that the benchmark has.
 
-Items are few and broadcast when their seeds are under BROADCAST_SEEDS rows; beyond
-that Spark joins them by a shuffle of seed hashes. Documents' seeds are not shuffled in
-the first case. Hits of a seed that many items hold are counted once for each item
-text, as items of equal tokens are searched as one.
-
-Null text: no tokens. Null item_id or doc_id: reported as null, told apart by text. Items under
-SHORTEST tokens: never reported. Repeated rows: each is reported. Empty table: empty
-result. Extra columns are ignored.
+Items are often made from templates, so the same tokens around a seed stand in many of
+them. Seeds are kept once for each such context, hits are verified on one item of the
+context, and only hits that hold are shared out to the items. clean() needs no items, and
+judges texts, not ids.
+
+Seeds are broadcast where there are BROADCAST_SEEDS rows or fewer; beyond that Spark
+joins them by a shuffle of seed hashes. Documents' seeds are not shuffled in the first
+case. Nothing else is broadcast by hand.
+
+Null text: no tokens. Null item_id or doc_id: reported as null; such a document goes if
+its text overlaps. Items under SHORTEST tokens: never reported. Repeated rows: each is
+reported; rows that share a doc_id are reported once for an item, by their best overlap.
+Ties: of equally good overlaps the first in the document, then in the item. Very long
+texts: whole, in rows of PIECE tokens. Empty table: empty result. Extra columns are
+ignored by hits() and kept by clean(), whatever their names.
 """
 
 from __future__ import annotations
@@ -63,11 +70,10 @@ def _starts(first: Column, last: Column, step: int) -> Column:
     return F.when(last >= first, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
-def items(benchmark: DataFrame) -> DataFrame:
-    """A row for each distinct token sequence: item_no, its item_ids and tokens."""
-    held = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= SHORTEST)
-    whole = held.groupBy("tokens").agg(F.collect_list(F.struct("item_id")).alias("ids"))
-    return settled(whole.withColumn("item_no", F.monotonically_increasing_id()))
+def items(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row for each distinct token sequence, item_no and tokens; and one for each item, item_id and item_no."""
+    held = benchmark.select("item_id", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= SHORTEST).withColumn("item_no", F.xxhash64("tokens"))
+    return settled(held.groupBy("item_no").agg(F.min("tokens").alias("tokens"))), held.select("item_id", "item_no")
 
 
 def allowed(n):
@@ -82,45 +88,55 @@ def _short_seeds(hashes: Column, starts: Column, n: int) -> Column:
     return F.flatten(F.transform(starts, lambda at: F.array(*[one(at, k) for k in range(len(masks))])))
 
 
+def _bounded(df: DataFrame) -> DataFrame:
+    """For a broadcast where df, a written table, is small enough; else Spark decides by its size."""
+    return F.broadcast(df) if df.count() <= BROADCAST_SEEDS else df
+
+
 def _short(pieces: DataFrame, known: DataFrame, n: int) -> DataFrame:
-    """doc_id, item_no, matched, item_start and doc_start of the whole occurrences of items of n tokens."""
+    """key, item_no, matched, item_start and doc_start of the whole occurrences of items of n tokens."""
     held = known.where(F.size("tokens") == n).select("item_no", F.col("tokens").alias("item"))
     seeds = settled(held.select("item_no", "item", F.explode(_short_seeds(F.col("item"), F.array(F.lit(0)), n)).alias("s")).select("item_no", "item", F.col("s.seed").alias("seed")))
     last = F.least(F.size("tokens") - n, F.col("lead") + PIECE - 1)
     probes = pieces.withColumn("s", F.explode(_short_seeds(F.col("tokens"), _starts(F.col("lead").cast("int"), last.cast("int"), 1), n)))
-    met = probes.join(F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds, F.col("s.seed") == F.col("seed"))
+    met = probes.join(_bounded(seeds), F.col("s.seed") == F.col("seed"))
     matched = F.size(F.filter(F.zip_with("item", F.slice("tokens", F.col("s.at") + 1, n), lambda x, y: x == y), lambda same: same))
-    found = met.select("doc_id", "item_no", matched.alias("matched"), F.lit(0).alias("item_start"), (F.col("begin") - F.col("lead") + F.col("s.at")).alias("doc_start"))
+    found = met.select("key", "item_no", matched.alias("matched"), F.lit(0).alias("item_start"), (F.col("begin") - F.col("lead") + F.col("s.at")).alias("doc_start"))
     return found.where(F.col("matched") >= n - allowed(n))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, matched, item_tokens, doc_start and item_start of the best overlap of each document and item that overlap."""
-    known = items(benchmark)
-    seeds = settled(
-        known.select("item_no", F.explode(_seeds(F.col("tokens"), _starts(F.lit(0), F.when(F.size("tokens") >= OVERLAP, F.size("tokens") - SPAN).otherwise(-1), 1))).alias("s"))
-        .select("item_no", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"))
-    )
-    few = seeds.count() <= BROADCAST_SEEDS
-    bounded = F.broadcast if few else (lambda df: df)
+def _overlaps(texts: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Where texts (key, text) overlap items.
 
+    Hits of a context: key, context, matched, doc_start, at (of the overlap, from the
+    seed). Contexts: context, item_no, item_at of each item that has it. Hits of short
+    items: key, item_no, matched, item_start, doc_start.
+    """
+    margin = OVERLAP - 1
+    whole = _starts(F.lit(0), F.when(F.size("tokens") >= OVERLAP, F.size("tokens") - SPAN).otherwise(-1), 1)
+    around = F.slice("tokens", F.greatest(F.col("s.at") - margin, F.lit(0)) + 1, SPAN + F.least("s.at", F.lit(margin)) + margin)
+    context = F.xxhash64(around, F.least("s.at", F.lit(margin)))
+    seeded = known.select("item_no", "tokens", F.explode(_seeds(F.col("tokens"), whole)).alias("s")).select("item_no", "s.mask", F.col("s.seed").alias("seed"), F.col("s.at").alias("item_at"), context.alias("context"))
+    seeded = settled(seeded)
+    contexts = settled(seeded.where("mask = 0").select("context", "item_no", "item_at"))
+    one = contexts.groupBy("context").agg(F.min(F.struct("item_no", "item_at")).alias("i")).select("context", "i.item_no", "i.item_at")
+    seeds = settled(seeded.select("seed", "context").distinct().join(one, "context"))
     lengths = [r.n for r in known.where(F.size("tokens") < OVERLAP).select(F.size("tokens").alias("n")).distinct().collect()]
 
     # Pieces of PIECE tokens, each with what its last seed and the check around it need
-    margin = OVERLAP - 1
-    hashes = docs.select("doc_id", tokens(F.col("text")).alias("all")).where(F.size("all") >= F.lit(min([OVERLAP, *lengths])))
+    hashes = texts.select("key", tokens(F.col("text")).alias("all")).where(F.size("all") >= F.lit(min([OVERLAP, *lengths])))
     pieces = hashes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.size("all") / PIECE).cast("int") - 1)))
     begin = F.col("piece") * PIECE
     pieces = pieces.select(
-        "doc_id", begin.alias("begin"), F.slice("all", F.greatest(begin - margin, F.lit(0)) + 1, PIECE + SPAN + 2 * margin).alias("tokens"),
+        "key", begin.alias("begin"), F.slice("all", F.greatest(begin - margin, F.lit(0)) + 1, PIECE + SPAN + 2 * margin).alias("tokens"),
         F.least(begin, F.lit(margin)).alias("lead"),
     )
     last = F.least(F.size("tokens") - SPAN, F.col("lead") + PIECE - 1)
     probes = pieces.withColumn("s", F.explode(_seeds(F.col("tokens"), _starts(F.col("lead").cast("int"), last.cast("int"), STRIDE))))
-    met = probes.join(bounded(seeds), F.col("s.seed") == F.col("seed"))
+    met = probes.join(_bounded(seeds), F.col("s.seed") == F.col("seed"))
 
     # The diagonal: the places of the item, against those of the piece at the same offset
-    met = met.join(bounded(known.select("item_no", F.col("tokens").alias("item"))), "item_no")
+    met = met.join(known.select("item_no", F.col("tokens").alias("item")), "item_no")
     shift = F.col("s.at") - F.col("item_at")
     low = F.greatest(F.col("item_at") - margin, F.lit(0), -shift)
     high = F.least(F.col("item_at") + SPAN + margin, F.size("item"), F.size("tokens") - shift)
@@ -128,23 +144,36 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     met = met.withColumn("low", low).withColumn("same", same).where(F.size("same") >= OVERLAP)
     runs = F.transform(F.sequence(F.lit(0), F.size("same") - OVERLAP), lambda i: F.struct(F.aggregate(F.slice("same", i + 1, OVERLAP), F.lit(0), lambda a, x: a + x).alias("n"), (-i).alias("at")))
     met = met.withColumn("best", F.array_max(runs)).where(F.col("best.n") >= OVERLAP - SUBSTITUTIONS)
-    item_start = F.col("low") - F.col("best.at")
-    found = met.select(
-        "doc_id", "item_no", F.col("best.n").alias("matched"), item_start.alias("item_start"),
-        (F.col("begin") - F.col("lead") + item_start + shift).alias("doc_start"),
-    )
+    at = F.col("low") - F.col("best.at") - F.col("item_at")
+    found = met.select("key", "context", F.col("best.n").alias("matched"), (F.col("begin") - F.col("lead") + F.col("s.at") + at).alias("doc_start"), at.alias("at"))
+    none = known.select(F.lit(None).cast(dict(texts.dtypes)["key"]).alias("key"), "item_no", *[F.lit(0).alias(c) for c in ("matched", "item_start", "doc_start")]).limit(0)
+    short = none
     for n in lengths:
-        found = found.unionByName(_short(pieces, known, n))
-    best = found.groupBy("doc_id", "item_no").agg(F.max(F.struct("matched", -F.col("doc_start"), -F.col("item_start"))).alias("b"))
-    best = best.select("doc_id", "item_no", F.col("b.matched").alias("matched"), (-F.col("b.col2")).alias("doc_start"), (-F.col("b.col3")).alias("item_start"))
-    named = known.select("item_no", F.size("tokens").alias("item_tokens"), F.explode("ids").alias("id"))
-    return best.join(bounded(named), "item_no").select("doc_id", F.col("id.item_id").alias("item_id"), "matched", "item_tokens", "doc_start", "item_start")
+        short = short.unionByName(_short(pieces, known, n))
+    return found, contexts, short
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, matched, item_tokens, doc_start and item_start of the best overlap of each document and item that overlap."""
+    known, named = items(benchmark)
+    found, contexts, short = _overlaps(docs.select(F.col("doc_id").alias("key"), "text"), known)
+    # an overlap that several seeds of a context find is one
+    best = found.groupBy("key", "context", "at").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("d"))).alias("b"))
+    each = best.join(contexts, "context").select("key", "item_no", F.col("b.matched").alias("matched"), (F.col("item_at") + F.col("at")).alias("item_start"), (-F.col("b.d")).alias("doc_start"))
+    each = each.unionByName(short)
+    most = each.groupBy("key", "item_no").agg(F.max(F.struct("matched", (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b"))
+    sized = named.join(known.select("item_no", F.size("tokens").alias("item_tokens")), "item_no")
+    return most.join(sized, "item_no").select(F.col("key").alias("doc_id"), "item_id", F.col("b.matched").alias("matched"), "item_tokens", (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no item."""
-    dirty = settled(hits(docs, benchmark).select(F.col("doc_id").alias(unused(docs, "dirty"))).distinct())
-    return docs.join(dirty, docs["doc_id"] == dirty[dirty.columns[0]], "left_anti")
+    """The rows of docs whose text overlaps no item."""
+    known, _ = items(benchmark)
+    both = lambda text: F.struct(F.xxhash64(text), F.xxhash64(text, F.lit(1)))
+    found, _, short = _overlaps(docs.select(both(F.col("text")).alias("key"), "text"), known)
+    dirty = settled(found.select("key").union(short.select("key")).distinct())
+    name = unused(docs, "dirty")
+    return docs.join(dirty.withColumnRenamed("key", name), both(docs["text"]) == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

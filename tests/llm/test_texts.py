@@ -133,7 +133,25 @@ def test_decontamination_against_brute_force(spark):
     got = {(r.doc_id, r.item_id): r.matched for r in D.hits(docs, benchmark).collect()}
     assert got == brute_hits(rows, items) and len(got) > 20
     dirty = {i for i, _ in got}
-    assert {r.doc_id for r in D.clean(docs, benchmark).collect()} == {i for i, _ in rows if i not in dirty - {None}}
+    assert None in dirty and {r.doc_id for r in D.clean(docs, benchmark).collect()} == {i for i, _ in rows} - dirty
+    assert D.clean(docs, benchmark).columns == docs.columns
+    # rows that share an id, or have none, are judged by their texts
+    odd = frame(spark, [(1, items[1][1]), (1, "clean"), (None, items[2][1]), (None, "clean too"), (2, None)])
+    assert sorted(str(r.text) for r in D.clean(odd, benchmark).collect()) == ["None", "clean", "clean too"]
+
+
+def test_decontamination_by_items_of_a_template(spark):
+    """Items that share their beginning are verified as one and reported each; rows of one item too."""
+    rng = random.Random(8)
+    template = prose(rng, 30)
+    items = [(k, template + " " + prose(rng, 14)) for k in range(40)] + [(100 + k, template + " the same") for k in range(30)]
+    rows = [(i, prose(rng, 20) + " " + " ".join(template.split()[i : i + 16]) + " " + prose(rng, 9)) for i in range(6)] + [(50, prose(rng, 5) + " " + items[7][1]), (51, prose(rng, 90))]
+    docs, benchmark = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in D.hits(docs, benchmark).collect()}
+    assert got == brute_hits(rows, items)
+    _, contexts, _ = D._overlaps(docs.selectExpr("doc_id key", "text"), D.items(benchmark)[0])
+    assert contexts.where("item_at between 0 and 6").select("context").distinct().count() == 7
+    assert [r.doc_id for r in D.clean(docs, benchmark).collect()] == [51]
 
 
 def test_decontamination_by_short_items(spark):
