@@ -7,11 +7,14 @@ Other pre-tokens are encoded by the library once per worker, which keeps up to
 CACHE_ROWS of their lengths. No pre-token is shuffled but for the counts of the
 sample that chooses the table, and that choice changes no result.
 
-Texts with code points from 0590 up go to the library whole, since the
-Unicode versions of its rules and of the pattern here may differ there.
-
-Null text: empty, 0 tokens. Null doc_id: handled as any row. Empty table: empty
-result. Repeated rows: each is counted. Extra columns are ignored.
+The library and the pattern here know characters by different versions of Unicode. Each
+worker tries every character that it meets in both once; a text with one that they cut
+differently goes to the library whole.
+
+Null text: empty, 0 tokens. Null doc_id: handled as any row. Repeated rows: each is
+counted. Ties for the table go by code points. Very long texts: whole, a bounded number
+of pre-tokens at once. Empty table: empty result. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ CACHE_ROWS = 1 << 19
 #: Fixed values of the vocabulary: its pre-token pattern and its special string.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
-_BEYOND = regex.compile(r"[^\x00-\u058f]|[\x1c-\x1f]")
+_CONTROL = regex.compile(r"[\x1c-\x1f]")
 _PRE_TOKENS = regex.compile(PATTERN)
 _state: dict = {}
 
@@ -58,11 +61,35 @@ def _library(path: str):
     return _state[path]
 
 
+def doubtful(library, characters: set[str]) -> set[str]:
+    """Those that the library may cut in another way than PATTERN.
+
+    Each stands between a letter, a digit, a mark and a space, which shows its kind by
+    what it is joined with.
+    """
+    held = sorted(characters)
+    text = "".join(f"a{c}1{c}.{c} " for c in held)
+    here = {m.start() for m in _PRE_TOKENS.finditer(text)}
+    there = {start for _, (start, _) in library.pre_tokenizer.pre_tokenize_str(text)}
+    return {held[at // 7] for at in here ^ there}
+
+
 class Lengths:
     """Lengths of pre-tokens: the broadcast table, this worker's cache, then the library."""
 
     def __init__(self, path: str, table: dict[str, int]):
         self.library, self.table, self.kept = _library(path), table, {}
+        self.tried, self.doubtful = set(map(chr, range(128))), set("\x1c\x1d\x1e\x1f")
+
+    def beyond(self, text: str) -> bool:
+        """Whether the text has a character that the library may cut differently."""
+        if text.isascii():
+            return _CONTROL.search(text) is not None
+        held = set(text)
+        if new := held - self.tried:
+            self.tried |= new
+            self.doubtful |= doubtful(self.library, new)
+        return not held.isdisjoint(self.doubtful)
 
     def lengths(self, found: set[str]) -> dict[str, int]:
         out = {x: n for x in found if (n := self.table.get(x) or self.kept.get(x))}
@@ -82,7 +109,7 @@ class Lengths:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if _BEYOND.search(text):
+            if self.beyond(text):
                 whole.append(i)
                 continue
             parts = text.split(SPECIAL)
@@ -111,9 +138,8 @@ def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, top: int = TAB
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if text and not _BEYOND.search(text):
-                    for part in text.split(SPECIAL):
-                        seen.update(_PRE_TOKENS.findall(part))
+                for part in (text or "").split(SPECIAL):
+                    seen.update(_PRE_TOKENS.findall(part))
             if len(seen) > CACHE_ROWS:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
                 seen = Counter()

@@ -41,6 +41,25 @@ def test_token_counts_are_the_library_s(spark, rows, docs):
     assert got == want
 
 
+def test_token_counts_of_all_characters():
+    """Texts of web characters are cut here, not sent to the library whole, and every character counts as the library says."""
+    path = T.vocabulary_path()
+    library, lengths = T._library(path), T.Lengths(path, {})
+    web = "“It’s fine” — she said… 日本語 naïve Ünïcödé שלום 👍🏽 №5 ½ x² \u00a0 \u3000 end"
+    assert not lengths.beyond(web) and lengths.beyond(web + chr(0x208F))
+    rng = random.Random(5)
+    texts = [web] + ["".join(rng.choice("ab1. '") + chr(rng.choice([rng.randrange(0x80, 0xD800), rng.randrange(0xE000, 0x30000)])) * rng.randrange(1, 3) for _ in range(300)) for _ in range(40)]
+    texts += ["".join(f"{a}{chr(c)}{a}" for c in range(low, low + 512)) for low in range(0x80, 0xD000, 4096) for a in "a1."]
+    assert lengths(texts) == [len(library.encode(t, add_special_tokens=False)) for t in texts]
+
+
+def test_token_counts_of_a_very_long_text_and_clashing_names(spark):
+    rows = [(1, prose(random.Random(1), 60000)), (2, "a" * 40000), (3, None)]
+    library = T._library(T.vocabulary_path())
+    got = {r.doc_id: r.n_tokens for r in T.count(frame(spark, rows).selectExpr("*", "1 as text__", "2 as n_bytes", "3 as n_tokens")).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False)) for i, t in rows}
+
+
 def test_token_cache_begins_anew(monkeypatch):
     monkeypatch.setattr(T, "CACHE_ROWS", 10)
     texts = [prose(random.Random(k), 40) for k in range(5)]
