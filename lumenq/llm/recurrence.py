@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 #: key (first, second), detail, doc_id, pos
 Keys = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 #: What a place asks of its key and detail: that another place has them; that a smaller
-#: doc_id has them; or the first of these, and whether the key has several details.
-EACH, LATER, SPLIT = 0, 1, 2
+#: doc_id has them; the first of these, and whether the key has several details; or that it
+#: is in the smallest of several documents.
+EACH, LATER, SPLIT, OWNER = 0, 1, 2, 3
 #: Bits of the answer.
-REPEATED, IS_LATER, DIFFERS = 1, 2, 4
-_WANTED = np.array([REPEATED, IS_LATER, REPEATED | DIFFERS], np.int8)
+REPEATED, IS_LATER, DIFFERS, OWNS = 1, 2, 4, 8
+_WANTED = np.array([REPEATED, IS_LATER, REPEATED | DIFFERS, OWNS], np.int8)
 #: Rows that a task holds before it sends them on.
 HELD = 1 << 21
 #: state: 0 speaks for one place, 1 for several of its task, 2 is a known repeat.
@@ -43,12 +44,15 @@ def _combined(parts: list[Keys], kind: int) -> Iterator[pa.RecordBatch]:
     first, second, detail, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((pos, doc, detail, second, first))
     cols = [c[order] for c in (first, second, detail, doc, pos)]
-    fresh = _new(*cols)
+    # one row for each place, or for each document where the smallest is sought
+    fresh = _new(*cols[:4] if kind == OWNER else cols)
     cols = [c[fresh] for c in cols]
     speaks = _new(*cols[:3])
     size = np.diff(np.append(np.flatnonzero(speaks), len(speaks)))
     state = np.full(len(speaks), 2, np.int8)
     state[speaks] = size > 1
+    if kind == OWNER:
+        cols, state, speaks = [c[speaks] for c in cols], state[speaks], speaks[speaks]
     for i in range(0, len(speaks), 1 << 18):
         cut = slice(i, i + (1 << 18))
         n = len(state[cut])
@@ -90,7 +94,8 @@ def _judge(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         later = e != np.repeat(e[begin], size)
         of_key = np.flatnonzero(key)
         details = np.repeat(np.add.reduceat(same.astype(np.int64), of_key), np.diff(np.append(of_key, len(at))))
-        answer[at] = repeated * REPEATED + later * IS_LATER + (details > 1) * DIFFERS
+        shared = np.repeat(np.logical_or.reduceat(later | (many > 0), of_key), np.diff(np.append(of_key, len(at))))
+        answer[at] = repeated * REPEATED + later * IS_LATER + (details > 1) * DIFFERS + (key & shared) * OWNS
     hit = (answer & _WANTED[kind]) > 0
     if hit.any():
         yield pa.RecordBatch.from_arrays([pa.array(x[hit]) for x in (first, doc, pos, kind, answer)], names=["first", "doc_id", "pos", "kind", "answer"])

@@ -1,22 +1,31 @@
 """Substring dedup: words in windows that a document with a smaller id has too.
 
-Windows are WINDOW consecutive words. First, recurring phrases: each window is
-represented by its smallest 5-word hash, so equal windows have equal anchors, and only
-anchors (about a fifth of all positions) are shuffled to learn which are in two
-documents. Then passages are confirmed: windows over such anchors are compared by
-128-bit hashes of their words, and a document loses those that also start in a
-document with a smaller id. Last, for each stretch of documents the confirmed passages
-are compiled to Aho-Corasick automata over word codes, a bounded number of patterns in
-each, and all documents of the stretch are streamed through them; each match is held
-against the window's 64-bit hash.
-
-A document whose text another with a smaller id has is known by its whole text, and
-its windows aren't compared one by one. The texts are shuffled once, and meet both
-lists of their document there.
+Windows are WINDOW consecutive words. Each is represented by its smallest 5-word hash, so
+equal windows have equal anchors.
+
+1. Only anchors (about a fifth of all positions) are shuffled to learn which are in two
+   documents. A document whose whole text another with a smaller id has is known by that,
+   and its windows aren't looked at.
+2. Recurring passages are confirmed: windows over such anchors are compared by 128-bit
+   hashes, and the smallest document of each that several have is its owner. Successive
+   windows of an owner with one anchor are a passage: a row of word codes, once for the
+   whole corpus.
+3. Passages are dealt to shards by anchor, and compiled there to Aho-Corasick automata of
+   at most SHARD_PATTERNS windows. All documents are streamed through them: the piece of
+   a document around each anchor goes to that anchor's shard, and what the automaton
+   finds there, and where, is what the document loses, if the owner's id is smaller.
+
+Codes are 31 bits of a word's hash, as an automaton takes no more; 32 bits of the
+window's hash are held against each match. An anchor of over SPLIT_DOCS documents has its
+pieces split over copies of its passages. The texts meet their lists by a shuffle, whose
+files are deleted when a step is written.
 
 Null text: no words. Null doc_id: kept whole, and no other text is held against it.
-Rows that share a doc_id count as one document, and don't repeat each other. Texts
-under WINDOW words lose nothing. Empty table: empty result. Extra columns are ignored.
+Rows that share a doc_id count as one document, and don't repeat each other; each of
+them loses what any of them loses at that place. Repeated rows: the same. Ties: of equal
+windows the smallest doc_id keeps its own. Texts under WINDOW words lose nothing. Very
+long texts: whole; one over hashing.CHUNK_BYTES is handled alone. Empty table: empty
+result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,12 +40,15 @@ from pyspark.sql import functions as F
 
 from . import hashing as H
 from . import recurrence as R
-from .tables import documents, identified
+from .tables import discard, documents, identified, settled
 
 WINDOW = 13
 ANCHOR = 5
-#: Patterns in one automaton, at most.
-SHARD_PATTERNS = 20000
+#: Windows in one automaton, at most, and pieces and windows of a shard, about.
+SHARD_PATTERNS, SHARD_PIECES, SHARD_WINDOWS = 20_000, 50_000, 100_000
+#: Documents whose pieces of one anchor go to one task.
+SPLIT_DOCS = 10_000
+PIECE = "anchor long, doc_id long, split int, start long, codes binary, checks binary"
 
 
 def _anchors(hashes: np.ndarray, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,9 +90,10 @@ def _find_anchors(window: int):
     return find
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    """All values of a column of lists."""
-    return np.unique(column.flatten().to_numpy(zero_copy_only=False))
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of lists, and their rows."""
+    lists = lists.fill_null(pa.scalar([], lists.type))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
 
 
 def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -92,7 +105,7 @@ def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
 def _find_windows(window: int):
     def find(batch: pa.RecordBatch) -> Iterator[tuple[int, R.Keys]]:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        known = _values(batch.column("anchors"))
+        known = np.unique(_flat(batch.column("anchors"))[0])
         for chunk in H.chunks(batch.column("text").to_pylist()):
             start, end, owner = chunk.words()
             hashes = H.word_hashes(chunk, start, end)
@@ -101,102 +114,213 @@ def _find_windows(window: int):
             if len(at):
                 doc = ids[chunk.rows[0] : chunk.rows[-1] + 1]
                 a, b = (H.as_long(H.ranges_hash(hashes, at, at + window, which)) for which in (1, 2))
-                yield R.LATER, (a, b, 0 * at, doc[owner[at]], 0 * at)
+                yield R.OWNER, (a, b, 0 * at, doc[owner[at]], at - chunk.first(owner)[owner[at]])
 
     return find
 
 
-def _patterns(chunk: H.Chunk, hashes: np.ndarray, owner: np.ndarray, doc: np.ndarray, lost: list, window: int) -> dict[tuple, tuple[int, int]]:
-    """Word codes of confirmed windows that together cover each stretch of them: the smallest document that loses it, and its hash."""
-    at, h = H.windows(hashes, owner, window, 1)
-    h = H.as_long(h)
-    codes = (hashes >> H.U(32)).astype(np.uint32)
-    bounds = np.searchsorted(owner[at], np.arange(len(doc) + 1))
-    found: dict[tuple, tuple[int, int]] = {}
-    for i, mine in enumerate(lost):
-        if mine is None or not len(mine):
-            continue
-        span = slice(bounds[i], bounds[i + 1])
-        hit = np.flatnonzero(_member(h[span], np.unique(np.asarray(mine, np.int64))))
-        if not len(hit):
-            continue
-        begin = np.flatnonzero(np.append(True, np.diff(hit) > 1))
-        stop = np.append(begin[1:], len(hit))
-        for b, e in zip(begin, stop, strict=True):
-            for k in {*range(b, e, window), e - 1}:
-                p = at[span][hit[k]]
-                key = tuple(codes[p : p + window].tolist())
-                value = (int(doc[i]), int(h[span][hit[k]]))
-                found[key] = min(value, found.get(key, value))
-    return found
-
-
-def _automata(patterns: dict[tuple, tuple[int, int]]):
-    import ahocorasick
-
-    keys = list(patterns)
-    for i in range(0, len(keys), SHARD_PATTERNS):
-        shard = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key in keys[i : i + SHARD_PATTERNS]:
-            shard.add_word(key, patterns[key])
-        shard.make_automaton()
-        yield shard
+def _binary(values: np.ndarray, size: np.ndarray) -> pa.Array:
+    """A column of runs of numbers of 32 bits."""
+    ends = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, np.uint32))])
+
+
+def _pieces(window: int):
+    """The pieces around anchors: of windows that are owned, where the batch has a column of their places, else of all windows with its anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            if owned := "owned" in batch.schema.names:
+                places, row = _flat(batch.column("owned"))
+            else:
+                known = np.unique(_flat(batch.column("anchors"))[0])
+                hot, once = np.unique(_flat(batch.column("hot"))[0], return_index=True)
+                splits = _flat(batch.column("splits"))[0][once]
+            for chunk in H.chunks(batch.column("text").to_pylist()):
+                start, end, owner = chunk.words()
+                hashes = H.word_hashes(chunk, start, end)
+                at, least, _ = _anchors(hashes, owner, window)
+                first = chunk.first(owner)
+                if owned:
+                    mine = (row >= chunk.rows[0]) & (row <= chunk.rows[-1])
+                    use = _member(at, np.unique(places[mine] + first[row[mine] - chunk.rows[0]]))
+                else:
+                    use = _member(H.as_long(least), known)
+                at, least = at[use], least[use]
+                if not len(at):
+                    continue
+                begin = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (least[1:] != least[:-1])]))
+                many = np.diff(np.append(begin, len(at)))
+                size = many + window - 1
+                inside = np.repeat(at[begin] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                anchor, text = H.as_long(least[begin]), owner[at[begin]]
+                doc = ids[chunk.rows[0] + text]
+                split = np.zeros(len(begin), np.int32)
+                if not owned and len(hot):
+                    is_hot = _member(anchor, hot)
+                    spread = H.mix(doc[is_hot].astype(H.U)) % splits[np.searchsorted(hot, anchor[is_hot])].astype(H.U)
+                    split[is_hot] = spread.astype(np.int32)
+                codes = (hashes >> H.U(33)).astype(np.uint32) + np.uint32(1)
+                check = (H.ranges_hash(hashes, at, at + window, 1) >> H.U(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, doc, split, at[begin] - first[text])), _binary(codes[inside], size), _binary(check, many)], names=["anchor", "doc_id", "split", "start", "codes", "checks"])
+
+    return run
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of _binary(), and how many each row has."""
+    size = np.array([len(x) for x in column.to_pylist()], np.int64) // 4
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32), size
+
+
+class Windows:
+    """The windows of a shard's passages, as patterns: owner and check of each, and others of the same codes."""
+
+    def __init__(self, passages: pa.Table, window: int):
+        codes, size = _numbers(passages.column("codes"))
+        checks, many = _numbers(passages.column("checks"))
+        owner = np.repeat(passages.column("doc_id").to_numpy(), many)
+        at = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(len(checks))
+        listed, first = codes.tolist(), {}
+        keys, self.twins = [], []
+        for k, p in enumerate(at.tolist()):
+            key = tuple(listed[p : p + window])
+            if (same := first.setdefault(key, k)) == k:
+                keys.append((key, k))
+            else:
+                self.twins.append((same, k))
+        self.keys, self.owner, self.check = keys, owner, checks
+
+    def automata(self) -> Iterator:
+        import ahocorasick
+
+        for i in range(0, len(self.keys), SHARD_PATTERNS):
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            for key, k in self.keys[i : i + SHARD_PATTERNS]:
+                automaton.add_word(key, k)
+            automaton.make_automaton()
+            yield automaton
+
+
+def _locate(window: int):
+    """What each piece loses: its document, and first window and number of windows of each run."""
+
+    def run(pieces: pa.Table, passages: pa.Table) -> pa.Table:
+        found = {"doc_id": pa.array([], pa.int64()), "lost": pa.array([], pa.int64())}
+        if not pieces.num_rows or not passages.num_rows:
+            return pa.table(found)
+        known = Windows(passages, window)
+        codes, size = _numbers(pieces.column("codes"))
+        checks, many = _numbers(pieces.column("checks"))
+        # pieces follow each other with a 0 between, which no pattern has
+        begin = np.cumsum(size + 1) - size - 1
+        joined = np.zeros(int((size + 1).sum()), np.uint32)
+        joined[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(codes))] = codes
+        sequence = tuple(joined.tolist())
+        hits = [hit for automaton in known.automata() for hit in automaton.iter(sequence)]
+        if not hits:
+            return pa.table(found)
+        place, pattern = np.array(hits, np.int64).T
+        for same, other in known.twins:
+            place, pattern = np.append(place, place[pattern == same]), np.append(pattern, np.full((pattern == same).sum(), other))
+        place -= window - 1
+        piece = np.searchsorted(begin, place, "right") - 1
+        number = np.cumsum(many)[piece] - many[piece] + place - begin[piece]
+        docs = pieces.column("doc_id").to_numpy()
+        good = (checks[number] == known.check[pattern]) & (known.owner[pattern] < docs[piece])
+        number = np.unique(number[good])
+        piece = np.searchsorted(np.cumsum(many), number, "right")
+        start = pieces.column("start").to_numpy()[piece] + number - (np.cumsum(many) - many)[piece]
+        # a run ends where the next window isn't lost, with its piece, and at the latest after _MOST_RUN windows
+        fresh = np.concatenate([np.ones(min(1, len(number)), bool), (np.diff(number) != 1) | (np.diff(piece) != 0)])
+        since = np.arange(len(number)) - np.maximum.accumulate(np.where(fresh, np.arange(len(number)), 0))
+        edge = np.flatnonzero(fresh | (since % _MOST_RUN == 0))
+        run_of = np.diff(np.append(edge, len(number)))
+        return pa.table({"doc_id": pa.array(docs[piece[edge]]), "lost": pa.array((start[edge] << 16) + run_of)})
+
+    return run
+
+
+#: Windows that one entry of what a document loses may have.
+_MOST_RUN = (1 << 16) - 1
 
 
 def _remove(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            plain = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             copy = batch.column("copy").to_numpy(zero_copy_only=False)
-            lists = batch.column("lost")
+            lost, row = _flat(batch.column("lost"))
             for chunk in H.chunks(batch.column("text").to_pylist()):
                 n, low = len(chunk.rows), int(chunk.rows[0])
-                doc = plain[low : low + n]
-                lost = [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in lists.slice(low, n)]
-                start, end, owner = chunk.words()
+                _, _, owner = chunk.words()
                 size = np.bincount(owner, minlength=n)
-                gone = np.zeros(len(owner), bool)
-                if any(x is not None for x in lost):
-                    hashes = H.word_hashes(chunk, start, end)
-                    patterns = _patterns(chunk, hashes, owner, doc, lost, window)
-                    codes = (hashes >> H.U(32)).astype(np.uint32)
-                    at, h = H.windows(hashes, owner, window, 1)
-                    of = dict(zip(at.tolist(), H.as_long(h).tolist(), strict=True)) if patterns else {}
-                    bounds = chunk.first(owner)
-                    for shard in _automata(patterns):
-                        for i in range(n):
-                            first = int(bounds[i])
-                            sequence = tuple(codes[first : bounds[i + 1]].tolist())
-                            hits = [first + last - window + 1 for last, (least, hash_) in shard.iter(sequence) if least <= doc[i] and of[first + last - window + 1] == hash_]
-                            for p in hits:
-                                gone[p : p + window] = True
-                whole = copy[low : low + n] & (size >= window)
-                gone |= whole[owner]
-                removed = np.bincount(owner[gone], minlength=n)
                 bounds = chunk.first(owner)
+                mine = (row >= low) & (row < low + n)
+                text, v = row[mine] - low, lost[mine]
+                begin, end = v >> 16, (v >> 16) + (v & _MOST_RUN) + window - 1
+                # a place of another text with this doc_id may lie outside
+                good = end <= size[text]
+                change = np.zeros(len(owner) + 1, np.int64)
+                np.add.at(change, (begin + bounds[text])[good], 1)
+                np.add.at(change, (end + bounds[text])[good], -1)
+                gone = np.cumsum(change[:-1]) > 0
+                gone |= (copy[low : low + n] & (size >= window))[owner]
+                removed = np.bincount(owner[gone], minlength=n)
                 kept = []
-                for i, text in enumerate(chunk.texts):
-                    words = text.split()
+                for i, t in enumerate(chunk.texts):
+                    words = t.split()
                     if removed[i]:
                         words = list(compress(words, ~gone[bounds[i] : bounds[i + 1]]))
                     kept.append(b" ".join(words))
-                yield pa.RecordBatch.from_arrays([ids.slice(low, n), pa.array(size), pa.array(removed), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(low, n), pa.array(size), pa.array(removed), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return run
 
 
+def passages(known: DataFrame, some: DataFrame, window: int) -> DataFrame:
+    """anchor, doc_id, codes and checks of the passages that several documents have, in the smallest of these."""
+    windows = R.recurring(known.join(some, "doc_id").mapInArrow(R.sender(_find_windows(window)), R.SENT))
+    owned = settled(windows.groupBy("doc_id").agg(F.collect_list("pos").alias("owned")))
+    out = settled(known.join(owned, "doc_id").mapInArrow(_pieces(window), PIECE).select("anchor", "doc_id", "codes", "checks"))
+    discard(owned)
+    return out
+
+
+def located(known: DataFrame, held: DataFrame, confirmed: DataFrame, window: int) -> DataFrame:
+    """doc_id and lost, the runs of windows that the automata find in each document.
+
+    held: anchor and doc_id of the anchors that documents may share. confirmed: the passages.
+    """
+    met = settled(held.join(confirmed.select("anchor").distinct(), "anchor", "left_semi"))
+    n_pieces, n_windows = met.count(), confirmed.agg(F.coalesce(F.sum(F.octet_length("checks")), F.lit(0))).first()[0] // 4
+    shards = max(1, -(-n_pieces // SHARD_PIECES), -(-n_windows // SHARD_WINDOWS))
+    splits = F.ceil(F.count(F.lit(1)) / SPLIT_DOCS).cast("int")
+    hot = settled(met.groupBy("anchor").agg(splits.alias("splits")).where("splits > 1"))
+    lists = met.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("splits") > 1, F.col("anchor"))).alias("hot"), F.collect_list("splits").alias("splits"))
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    pieces = known.join(lists, "doc_id").mapInArrow(_pieces(window), PIECE).select(shard, "split", "doc_id", "start", "codes", "checks")
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("split")
+    dealt = confirmed.join(hot, "anchor", "left").select(shard, each, "doc_id", "codes", "checks")
+    found = pieces.groupBy("shard", "split").cogroup(dealt.groupBy("shard", "split")).applyInArrow(_locate(window), "doc_id long, lost long")
+    out = settled(found.groupBy("doc_id").agg(F.collect_list("lost").alias("lost")))
+    discard(met, hot)
+    return out
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by spaces, as UTF-8)."""
     docs = identified(docs)
-    # every join takes the same filtered texts, so that Spark shuffles them once
     known = docs.where("doc_id is not null")
-    anchors = R.recurring(known.mapInArrow(R.sender(_find_anchors(window)), R.SENT))
-    lists = anchors.groupBy("doc_id").agg(F.collect_set(F.when(F.col("kind") == R.EACH, F.col("first"))).alias("anchors"), F.max(F.col("kind") == R.LATER).alias("copy"))
-    some = lists.where("not copy and size(anchors) > 0").select("doc_id", "anchors")
-    windows = R.recurring(known.join(some, "doc_id").mapInArrow(R.sender(_find_windows(window)), R.SENT))
-    lost = windows.groupBy("doc_id").agg(F.collect_set("first").alias("lost"))
-    both = known.join(lists.where("copy").select("doc_id", "copy"), "doc_id", "left").join(lost, "doc_id", "left")
+    anchors = settled(R.recurring(known.mapInArrow(R.sender(_find_anchors(window)), R.SENT)).select("kind", F.col("first").alias("anchor"), "doc_id").distinct())
+    copies = settled(anchors.where(F.col("kind") == R.LATER).select("doc_id").distinct())
+    held = settled(anchors.where(F.col("kind") == R.EACH).select("anchor", "doc_id").join(copies, "doc_id", "left_anti"))
+    discard(anchors)
+    some = settled(held.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")))
+    confirmed = passages(known, some, window)
+    lost = located(known, held, confirmed, window)
+    discard(some, held, confirmed)
+    both = known.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left").join(lost, "doc_id", "left")
     others = docs.where("doc_id is null").withColumns({"copy": F.lit(False), "lost": F.lit(None).cast("array<long>")})
     whole = both.withColumn("copy", F.coalesce("copy", F.lit(False))).unionByName(others)
     return whole.mapInArrow(_remove(window), "doc_id long, n_words long, n_removed long, kept binary")

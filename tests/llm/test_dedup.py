@@ -78,6 +78,32 @@ def test_substring_other_corpora(spark, seed):
     assert got == brute_words(rows, 13)
 
 
+def test_substring_locates_by_automata(docs, monkeypatch):
+    """Without what the automata find, only whole copies lose words."""
+    whole = {r.doc_id: r.n_removed for r in substring_dedup.dedup(docs).collect()}
+
+    def blind(pieces, passages):
+        import pyarrow as pa
+
+        return pa.table({"doc_id": pa.array([], pa.int64()), "lost": pa.array([], pa.int64())})
+
+    monkeypatch.setattr(substring_dedup, "_locate", lambda window: blind)
+    without = {r.doc_id: (r.n_removed, r.n_words) for r in substring_dedup.dedup(docs).collect()}
+    assert all(n in (0, size) for n, size in without.values()) and sum(n for n, _ in without.values()) < sum(whole.values())
+
+
+def test_substring_splits_a_common_passage(spark, monkeypatch):
+    """A passage of many documents, with few pieces a task and few patterns an automaton."""
+    monkeypatch.setattr(substring_dedup, "SPLIT_DOCS", 7)
+    monkeypatch.setattr(substring_dedup, "SHARD_PIECES", 50)
+    rng = random.Random(5)
+    common, other = prose(rng, 25), prose(rng, 40)
+    rows = [(i, " ".join([prose(rng, 8), common if i % 3 else other, prose(rng, 8)])) for i in range(90)]
+    rows += [(200, "x y " * 60), (201, "x y " * 90), (202, None), (203, "é " * 14)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.dedup(frame(spark, rows)).collect())
+    assert got == brute_words(rows, 13)
+
+
 def test_suffix(spark, rows, docs):
     got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.dedup(docs).collect())
     assert got == brute_bytes(rows, 400)
