@@ -15,8 +15,8 @@ equal windows have equal anchors.
    a document around each anchor goes to that anchor's shard, and what the automaton
    finds there, and where, is what the document loses, if the owner's id is smaller.
 
-Codes are 31 bits of a word's hash, as an automaton takes no more; 32 bits of the
-window's hash are held against each match. An anchor of over SPLIT_DOCS documents has its
+A code is 15 bits of a word's hash, spelt as two letters, so that a state has few
+successors; the 64 bits of the window's hash are held against each match. An anchor of over SPLIT_DOCS documents has its
 pieces split over copies of its passages. The texts meet their lists by a shuffle, whose
 files are deleted when a step is written.
 
@@ -44,8 +44,8 @@ from .tables import discard, documents, identified, settled
 
 WINDOW = 13
 ANCHOR = 5
-#: Windows in one automaton, at most, and pieces and windows of a shard, about.
-SHARD_PATTERNS, SHARD_PIECES, SHARD_WINDOWS = 20_000, 50_000, 100_000
+#: Windows in one automaton, at most, and pieces of a shard, about.
+SHARD_PATTERNS, SHARD_PIECES = 20_000, 50_000
 #: Documents whose pieces of one anchor go to one task.
 SPLIT_DOCS = 10_000
 PIECE = "anchor long, doc_id long, split int, start long, codes binary, checks binary"
@@ -120,9 +120,9 @@ def _find_windows(window: int):
 
 
 def _binary(values: np.ndarray, size: np.ndarray) -> pa.Array:
-    """A column of runs of numbers of 32 bits."""
-    ends = np.concatenate([[0], np.cumsum(size * 4)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, np.uint32))])
+    """A column of runs of numbers."""
+    ends = np.concatenate([[0], np.cumsum(size * values.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def _pieces(window: int):
@@ -161,31 +161,35 @@ def _pieces(window: int):
                     is_hot = _member(anchor, hot)
                     spread = H.mix(doc[is_hot].astype(H.U)) % splits[np.searchsorted(hot, anchor[is_hot])].astype(H.U)
                     split[is_hot] = spread.astype(np.int32)
-                codes = (hashes >> H.U(33)).astype(np.uint32) + np.uint32(1)
-                check = (H.ranges_hash(hashes, at, at + window, 1) >> H.U(32)).astype(np.uint32)
+                codes = (hashes >> H.U(49)).astype(_CODE) + _CODE.type(1)
+                check = H.ranges_hash(hashes, at, at + window, 1)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, (anchor, doc, split, at[begin] - first[text])), _binary(codes[inside], size), _binary(check, many)], names=["anchor", "doc_id", "split", "start", "codes", "checks"])
 
     return run
 
 
-def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+#: Codes are from 1 on; as bytes they are two letters each.
+_CODE = np.dtype("<u2")
+
+
+def _numbers(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of a column of _binary(), and how many each row has."""
-    size = np.array([len(x) for x in column.to_pylist()], np.int64) // 4
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32), size
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.fromiter(map(len, parts), np.int64, len(parts)) // kind.itemsize
 
 
 class Windows:
     """The windows of a shard's passages, as patterns: owner and check of each, and others of the same codes."""
 
     def __init__(self, passages: pa.Table, window: int):
-        codes, size = _numbers(passages.column("codes"))
-        checks, many = _numbers(passages.column("checks"))
+        codes, size = _numbers(passages.column("codes"), _CODE)
+        checks, many = _numbers(passages.column("checks"), np.dtype(H.U))
         owner = np.repeat(passages.column("doc_id").to_numpy(), many)
         at = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(len(checks))
-        listed, first = codes.tolist(), {}
+        letters, first = codes.tobytes().decode("latin-1"), {}
         keys, self.twins = [], []
         for k, p in enumerate(at.tolist()):
-            key = tuple(listed[p : p + window])
+            key = letters[2 * p : 2 * (p + window)]
             if (same := first.setdefault(key, k)) == k:
                 keys.append((key, k))
             else:
@@ -196,7 +200,7 @@ class Windows:
         import ahocorasick
 
         for i in range(0, len(self.keys), SHARD_PATTERNS):
-            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             for key, k in self.keys[i : i + SHARD_PATTERNS]:
                 automaton.add_word(key, k)
             automaton.make_automaton()
@@ -211,17 +215,19 @@ def _locate(window: int):
         if not pieces.num_rows or not passages.num_rows:
             return pa.table(found)
         known = Windows(passages, window)
-        codes, size = _numbers(pieces.column("codes"))
-        checks, many = _numbers(pieces.column("checks"))
+        codes, size = _numbers(pieces.column("codes"), _CODE)
+        checks, many = _numbers(pieces.column("checks"), np.dtype(H.U))
         # pieces follow each other with a 0 between, which no pattern has
         begin = np.cumsum(size + 1) - size - 1
-        joined = np.zeros(int((size + 1).sum()), np.uint32)
+        joined = np.zeros(int((size + 1).sum()), _CODE)
         joined[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(len(codes))] = codes
-        sequence = tuple(joined.tolist())
-        hits = [hit for automaton in known.automata() for hit in automaton.iter(sequence)]
+        letters = joined.tobytes().decode("latin-1")
+        hits = [hit for automaton in known.automata() for hit in automaton.iter(letters)]
         if not hits:
             return pa.table(found)
         place, pattern = np.array(hits, np.int64).T
+        whole = place % 2 == 1
+        place, pattern = place[whole] // 2, pattern[whole]
         for same, other in known.twins:
             place, pattern = np.append(place, place[pattern == same]), np.append(pattern, np.full((pattern == same).sum(), other))
         place -= window - 1
@@ -293,8 +299,9 @@ def located(known: DataFrame, held: DataFrame, confirmed: DataFrame, window: int
     held: anchor and doc_id of the anchors that documents may share. confirmed: the passages.
     """
     met = settled(held.join(confirmed.select("anchor").distinct(), "anchor", "left_semi"))
-    n_pieces, n_windows = met.count(), confirmed.agg(F.coalesce(F.sum(F.octet_length("checks")), F.lit(0))).first()[0] // 4
-    shards = max(1, -(-n_pieces // SHARD_PIECES), -(-n_windows // SHARD_WINDOWS))
+    n_pieces, n_windows = met.count(), confirmed.agg(F.coalesce(F.sum(F.octet_length("checks")), F.lit(0))).first()[0] // 8
+    # three quarters full on average, so that few need a second automaton
+    shards = max(1, -(-n_pieces // SHARD_PIECES), -(-4 * n_windows // (3 * SHARD_PATTERNS)))
     splits = F.ceil(F.count(F.lit(1)) / SPLIT_DOCS).cast("int")
     hot = settled(met.groupBy("anchor").agg(splits.alias("splits")).where("splits > 1"))
     lists = met.join(hot, "anchor", "left").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list(F.when(F.col("splits") > 1, F.col("anchor"))).alias("hot"), F.collect_list("splits").alias("splits"))
