@@ -4,8 +4,9 @@ A text is cut at the special string, which counts as one token, and then into
 pre-tokens; a pre-token's tokens don't depend on what stands around it. Lengths of the
 corpus' frequent pre-tokens are broadcast as a hash table of at most TABLE_ROWS rows.
 Other pre-tokens are encoded by the library once per worker, which keeps up to
-CACHE_ROWS of their lengths. No pre-token is shuffled but for the counts of the
-sample that chooses the table, and that choice changes no result.
+CACHE_ROWS of their lengths; those of over LONGEST characters are in neither. No
+pre-token is shuffled but for a summary of counts from each task, which together choose
+the table over all texts, and that choice changes no result.
 
 The library and the pattern here know characters by different versions of Unicode. Each
 worker tries every character that it meets in both once; a text with one that they cut
@@ -33,9 +34,10 @@ from .tables import documents
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Texts whose pre-tokens choose the table, and rows of the table, at most.
-SAMPLE_ROWS = 2000
-TABLE_ROWS = 1 << 15
+#: Rows of the table, and characters of a pre-token that table or cache holds, at most.
+TABLE_ROWS, LONGEST = 1 << 15, 64
+#: Characters that are counted at once; a pre-token across the edge counts as two, for the table only.
+PIECE = 1 << 20
 #: Lengths that one worker keeps; beyond that it begins anew.
 CACHE_ROWS = 1 << 19
 #: Fixed values of the vocabulary: its pre-token pattern and its special string.
@@ -100,7 +102,7 @@ class Lengths:
             part = new[i : i + 4096]
             got = dict(zip(part, map(len, self.library.encode_batch(part, add_special_tokens=False)), strict=True))
             out |= got
-            self.kept |= got
+            self.kept |= {x: n for x, n in got.items() if len(x) <= LONGEST}
         return out
 
     def __call__(self, texts: list[str]) -> list[int]:
@@ -131,23 +133,35 @@ class Lengths:
         return out
 
 
-def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, top: int = TABLE_ROWS) -> dict[str, int]:
-    """Token lengths of the most frequent pre-tokens of a bounded sample of texts."""
+def _summary(seen: Counter, rows: int) -> Counter:
+    """Counts of at most so many: the largest, less the first that is left out, as Misra and Gries bound a stream."""
+    if len(seen) <= rows:
+        return seen
+    n = np.fromiter(seen.values(), np.int64, len(seen))
+    out = int(np.partition(n, -rows - 1)[-rows - 1])
+    return Counter({t: n - out for t, n in seen.items() if n > out})
+
+
+def frequent(docs: DataFrame, path: str, top: int = TABLE_ROWS) -> dict[str, int]:
+    """Token lengths of the most frequent short pre-tokens of all texts.
+
+    A task sends one summary of at most `top` counts, so what is shuffled grows with the
+    tasks, not with the pre-tokens.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in (text or "").split(SPECIAL):
-                    seen.update(_PRE_TOKENS.findall(part))
-            if len(seen) > CACHE_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
-                seen = Counter()
+                    for i in range(0, len(part), PIECE):
+                        seen.update(_PRE_TOKENS.findall(part, i, i + PIECE))
+                        if len(seen) > CACHE_ROWS:
+                            seen = _summary(seen, CACHE_ROWS // 2)
+        seen = _summary(Counter({t: n for t, n in seen.items() if len(t) <= LONGEST}), top)
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["t", "n"])
 
-    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    counts = chosen.mapInArrow(of, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(of, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     best = [r.t for r in counts.where("n > 1").orderBy(F.desc("n"), "t").limit(top).collect()]
     library = _library(path)
     return {t: len(e) for t, e in zip(best, library.encode_batch(best, add_special_tokens=False), strict=True)}
@@ -156,7 +170,7 @@ def frequent(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, top: int = TAB
 def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row."""
     path = path or vocabulary_path()
-    # at most TABLE_ROWS short strings
+    # at most TABLE_ROWS strings of LONGEST characters
     table = docs.sparkSession.sparkContext.broadcast(frequent(docs, path))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +42,23 @@ def test_token_counts_are_the_library_s(spark, rows, docs):
     assert got == want
 
 
+def test_frequent_pre_tokens_come_from_all_texts(spark, docs, rows):
+    seen = Counter(t for _, text in rows for part in (text or "").split(T.SPECIAL) for t in T._PRE_TOKENS.findall(part))
+    seen = {t: n for t, n in seen.items() if n > 1 and len(t) <= T.LONGEST}
+    assert set(T.frequent(docs, T.vocabulary_path())) == set(seen)
+    best = sorted(seen, key=lambda t: (-seen[t], t))[:5]
+    got = T.frequent(docs.coalesce(1), T.vocabulary_path(), 20)
+    assert len(got) <= 20 and set(best) <= set(got)
+    assert T.frequent(docs.where("false"), T.vocabulary_path()) == {}
+
+
+def test_summaries_are_bounded_and_short_by_no_more_than_what_is_left_out():
+    seen = Counter({str(i): i for i in range(100)})
+    got = T._summary(seen, 10)
+    assert len(got) <= 10 and all(0 <= seen[t] - n <= 89 for t, n in got.items()) and set(got) == {str(i) for i in range(90, 100)}
+    assert T._summary(seen, 100) == seen and len(T._summary(Counter("abc"), 2)) == 0
+
+
 def test_token_counts_of_all_characters():
     """Texts of web characters are cut here, not sent to the library whole, and every character counts as the library says."""
     path = T.vocabulary_path()
